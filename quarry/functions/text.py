@@ -81,7 +81,7 @@ def final_answer_number(col) -> Column:
     t = _c(col)
     m = F.regexp_extract(F.lower(t), FINAL_ANSWER_RE, 1)
     last5 = F.slice(F.reverse(F.split(strip(t), "\n")), 1, 5)
-    line = F.filter(last5, lambda l: l.rlike(NUMBER_RE))[0]
+    line = F.try_element_at(F.filter(last5, lambda l: l.rlike(NUMBER_RE)), F.lit(1))
     fb = F.regexp_extract(line, NUMBER_RE, 1)
     s = F.when(m != "", m).otherwise(F.nullif(fb, F.lit("")))
     return _valid_int(s.try_cast("double"))

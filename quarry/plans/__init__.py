@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = [
     "quarry.plans.trigger_plans",
+    "quarry.plans.text_plans",
 ]
 
 
