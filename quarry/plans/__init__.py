@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "quarry.plans.trigger_plans",
     "quarry.plans.text_plans",
+    "quarry.plans.overlap_plans",
 ]
 
 
