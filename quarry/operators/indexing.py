@@ -9,26 +9,16 @@ same 0-based position a global sort gives, computed in parallel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def dense_index(df: DataFrame, order, out: str = "idx", partitions: int | None = None) -> DataFrame:
     """0-based position of every row in ``order`` (a column name or list;
     make it unique, ties break arbitrarily otherwise)."""
-    keys = [order] if isinstance(order, str) else list(order)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
-    local = parted.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*keys)) - 1)
-    counts = parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per partition: a bounded table, safe to order globally
-    offs = counts.withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(
-            Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
-            .withColumn(out, (F.col("_off") + F.col("_rn")).cast("long"))
-            .drop("_pid", "_rn", "_off"))
+    from quarry.operators.sampling import group_rank
+    r = group_rank(df, None, order, "_rank1", partitions=partitions)
+    return r.withColumn(out, (F.col("_rank1") - 1).cast("long")).drop("_rank1")
 
 
 def distinct_codes(df: DataFrame, col: str, out: str = "code") -> DataFrame:

@@ -8,6 +8,7 @@ _MODULES = [
     "quarry.plans.trigger_plans",
     "quarry.plans.text_plans",
     "quarry.plans.overlap_plans",
+    "quarry.plans.sampling_plans",
 ]
 
 
