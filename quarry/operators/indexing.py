@@ -25,3 +25,33 @@ def distinct_codes(df: DataFrame, col: str, out: str = "code") -> DataFrame:
     """Sorted distinct values of ``col`` -> 0..k-1, joined back onto ``df``."""
     codes = dense_index(df.select(col).distinct(), col, out)
     return df.join(codes.withColumn(out, F.col(out).cast("int")), col, "left")
+
+
+def running_total(df: DataFrame, order, sums, by=None, prefix: str = "cum_",
+                  partitions: int | None = None) -> DataFrame:
+    """Inclusive prefix sums of ``sums`` in ``order`` within ``by`` groups.
+
+    Distributed scan: range-partition on (by, order); each partition's rows
+    move to one task (a chunk of about rows / partitions, however large a
+    group is) and get local running sums; per-(partition, group) totals, a
+    table of at most #partitions + #groups rows, give each chunk its offset.
+    ``order`` must be unique within a group (ties would split arbitrarily).
+    """
+    from pyspark.sql import Window
+    keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
+    order = [order] if not isinstance(order, (list, tuple)) else list(order)
+    ocols = [F.col(o) if isinstance(o, str) else o for o in order]
+    sums = [sums] if isinstance(sums, str) else list(sums)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from quarry.session import materialize
+    parted = materialize(df.repartitionByRange(n, *[F.col(k) for k in keys], *ocols)
+                         .withColumn("_pid", F.spark_partition_id()))
+    w = Window.partitionBy("_pid", *keys).orderBy(*ocols).rowsBetween(Window.unboundedPreceding, 0)
+    local = parted.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in sums])
+    stats = parted.groupBy("_pid", *keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = stats.select("_pid", *keys, *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0))
+                                         .alias(f"_o_{c}") for c in sums])
+    res = local.join(offs, ["_pid", *keys], "inner")
+    return res.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(prefix + c)
+                                     for c in sums])

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import materialize
+
 
 def _keys(by) -> list[str]:
     if by is None:
@@ -53,7 +55,9 @@ def group_rank(df: DataFrame, by, order, out: str = "rn", count_out: str | None
     the low bits; reproducible because the partition content and its sort
     are).  The per-(partition, group) first position and count form a table
     of at most #partitions + #groups rows, which supplies the offsets.
-    ``order`` must make rows unique within a group.
+    ``order`` must make rows unique within a group.  The positioned rows are
+    checkpointed once (``materialize``) so the statistics and the numbering
+    read one partitioning.
     """
     keys = _keys(by)
     order = [order] if isinstance(order, (str, Column)) else list(order)
@@ -64,6 +68,8 @@ def group_rank(df: DataFrame, by, order, out: str = "rn", count_out: str | None
               .sortWithinPartitions(*kcols, *ocols)
               .withColumn("_pos", F.monotonically_increasing_id())
               .withColumn("_pid", F.spark_partition_id()))
+    # Both consumers below must see the same partition ids and positions.
+    parted = materialize(parted)
     stats = parted.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"),
                                               F.min("_pos").alias("_first"))
     wg = Window.partitionBy(*keys).orderBy("_pid")

@@ -28,12 +28,16 @@ DEFAULT_BAND_PCT = (0.05, 0.95)
 def fit_band(df: DataFrame, col: str = "similarity", pct=DEFAULT_BAND_PCT,
              where: Column | None = None) -> DataFrame:
     """AGG-7: one-row ``(band_lo, band_hi)``, exact percentiles with linear
-    interpolation (numpy's default), over the rows selected by ``where``."""
+    interpolation (numpy's default), over the rows selected by ``where``.
+
+    Uses the distributed exact quantile (no single-buffer ``percentile``);
+    with no rows the band is null, so nothing is halved.
+    """
+    from quarry.operators.quantiles import exact_quantiles
     src = df.filter(where) if where is not None else df
-    p = F.percentile(F.col(col).cast("double"),
-                     F.array(F.lit(float(pct[0])), F.lit(float(pct[1]))))
-    return src.agg(p.alias("_p")).select(F.col("_p")[0].alias("band_lo"),
-                                         F.col("_p")[1].alias("band_hi"))
+    q = exact_quantiles(src, col, [float(pct[0]), float(pct[1])], names=["band_lo", "band_hi"])
+    one = src.sparkSession.range(1).select(F.lit(1).alias("_one"))
+    return one.join(q.withColumn("_one", F.lit(1)), "_one", "left").select("band_lo", "band_hi")
 
 
 def raw_score(margin: Column, bleu: Column, rouge: Column, sim: Column,
@@ -81,22 +85,35 @@ def ema_frame_rows(alpha: float = DEFAULT_EMA_ALPHA, tol: float = 1e-12) -> int:
     return int(math.ceil(math.log(tol) / math.log(1.0 - alpha)))
 
 
-def ema(df: DataFrame, value: str, order: str, by=None, alpha: float = DEFAULT_EMA_ALPHA,
-        out: str = "ema_score", tol: float = 1e-12) -> DataFrame:
+def ema(df: DataFrame, value: str, order, by=None, alpha: float = DEFAULT_EMA_ALPHA,
+        out: str = "ema_score", tol: float = 1e-12, chunk_rows: int = 100_000) -> DataFrame:
     """WIN-1: e_t = (1 - a) e_{t-1} + a x_t with e_0 = 0, per key in ``order``.
 
-    A bounded window frame keeps only the rows whose weight (1-a)^k is above
-    ``tol`` relative to the newest (263 rows for a = 0.1, 1e-12), folded with
-    ``aggregate``.  Frames are per key, so no single task holds a key's whole
-    history in memory beyond the frame; a global EMA (no key) would collapse
-    to one partition and is therefore refused.
+    e_t = sum_j a (1-a)^j x_{t-j}; terms older than k rows weigh under
+    ``tol`` (k = 263 for a = 0.1, tol = 1e-12), so each row needs only its
+    k - 1 predecessors.  That makes the scan parallel inside a key: rows get
+    their exact rank within the key (distributed ``group_rank``), the key's
+    sequence is cut into chunks of ``chunk_rows``, and each chunk also
+    receives the last k - 1 rows of the chunk before it (a halo).  A bounded
+    window frame over (key, chunk) then folds the history with
+    ``aggregate``; halo rows are dropped.  A key with a third of all rows
+    spreads over many tasks.  ``order`` must be unique within a key.
     """
-    if by is None:
-        raise ValueError("ema needs a key: a global EMA serialises onto one task")
-    keys = [by] if isinstance(by, str) else list(by)
+    from quarry.operators.sampling import group_rank
+    keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
+    order = [order] if isinstance(order, str) else list(order)
     k = ema_frame_rows(alpha, tol)
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(k - 1), 0)
+    if chunk_rows < k:
+        raise ValueError("chunk_rows must be at least the EMA history length")
+    r = group_rank(df, keys, order, "_rk")
+    chunk = F.floor((F.col("_rk") - 1) / chunk_rows).cast("long")
+    own = r.withColumn("_chunk", chunk).withColumn("_halo", F.lit(False))
+    tail = (F.col("_rk") - 1) % chunk_rows >= chunk_rows - (k - 1)
+    halo = (r.filter(tail).withColumn("_chunk", chunk + 1).withColumn("_halo", F.lit(True)))
+    both = own.unionByName(halo)
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_rk").rowsBetween(-(k - 1), 0)
     hist = F.collect_list(F.col(value).cast("double")).over(w)
     a = F.lit(float(alpha))
     fold = F.aggregate(hist, F.lit(0.0), lambda e, x: (F.lit(1.0) - a) * e + a * x)
-    return df.withColumn(out, fold)
+    return (both.withColumn(out, fold).filter(~F.col("_halo"))
+            .drop("_rk", "_chunk", "_halo"))

@@ -9,6 +9,7 @@ _MODULES = [
     "quarry.plans.text_plans",
     "quarry.plans.overlap_plans",
     "quarry.plans.sampling_plans",
+    "quarry.plans.sweep_plans",
 ]
 
 

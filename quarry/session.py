@@ -71,3 +71,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the session's shared
+    checkpoint folder (never ``localCheckpoint``: executors can be lost).
+
+    Used where one computed partitioning feeds two consumers (partition ids,
+    positions), so every consumer, and every retried task, reads the same
+    materialised rows instead of re-deriving them.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
