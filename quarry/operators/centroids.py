@@ -117,31 +117,44 @@ def pairwise_cosine_stats(cents: DataFrame, vec: str = "centroid", by=None,
 
 
 def assign_nearest(samples: DataFrame, clusters: DataFrame, by: str = "bucket",
-                   vec: str = "embedding", kw: str = "keywords",
+                   id_col: str = "sample_id", vec: str = "embedding", kw: str = "keywords",
                    w_cos: float = 0.7, w_kw: float = 0.3,
-                   cluster_vec: str = "centroid", cluster_kw: str = "keywords",
-                   cluster_id: str = "cluster_id", threshold: float | None = None) -> DataFrame:
+                   cluster_vec: str = "centroid", cluster_id: str = "cluster_id",
+                   cluster_words: DataFrame | None = None, cluster_kw: str = "keywords",
+                   threshold: float | None = None) -> DataFrame:
     """JOIN-3 + FN-20 + FN-21: best cluster of the sample's bucket.
 
-    score = w_cos * cos(v, centroid) + w_kw * |K_s & K_c| / max(|K_c|, 1);
-    the first maximum wins (ties go to the smallest cluster id).  The join is
-    an equi-join on the bucket: the candidate set per sample is the bucket's
-    cluster table (promoted clusters, a small table), so the per-row work is
-    #clusters-in-bucket, and the final choice is an ``max_by`` per sample.
-    With ``threshold`` the match is kept only when score >= threshold.
+    score = w_cos cos(v, centroid) + w_kw |K_s & K_c| / max(|K_c|, 1); the
+    first maximum wins (ties go to the smallest cluster id).  Candidates are
+    an equi-join on the bucket (the bucket's promoted clusters).  The keyword
+    overlap is a join of exploded words on (bucket, cluster, word) counted
+    per (sample, cluster), so no keyword set is intersected in one row and
+    cluster keyword sets can be any size (``cluster_words`` is the long
+    table ``(by, cluster_id, word)``; otherwise ``cluster_kw`` arrays are
+    exploded).  Returns (id, bucket, assigned_cluster, match_score); with
+    ``threshold`` the cluster is null when the best score is below it.
     """
-    c = clusters.select(
-        F.col(by), F.col(cluster_id).alias("_cid"), F.col(cluster_vec).alias("_cv"),
-        F.col(cluster_kw).alias("_ck"), norm(cluster_vec).alias("_cn"))
-    s = samples.withColumn("_sn", norm(vec))
-    j = s.join(c, by, "inner")
-    overlap = (F.size(F.array_intersect(F.col(kw), F.col("_ck")))
-               / F.greatest(F.size("_ck"), F.lit(1)))
+    c = clusters.select(F.col(by), F.col(cluster_id).alias("_cid"),
+                        F.col(cluster_vec).alias("_cv"), norm(cluster_vec).alias("_cn"))
+    if cluster_words is None:
+        cluster_words = clusters.select(F.col(by), F.col(cluster_id),
+                                        F.explode(F.array_distinct(cluster_kw)).alias("word"))
+    cw = cluster_words.select(F.col(by), F.col(cluster_id).alias("_cid"), F.col("word")).distinct()
+    csize = cw.groupBy(by, "_cid").agg(F.count(F.lit(1)).alias("_ck"))
+    s = samples.select(F.col(id_col), F.col(by), F.col(vec), norm(vec).alias("_sn"))
+    sw = samples.select(F.col(id_col), F.col(by),
+                        F.explode(F.array_distinct(kw)).alias("word"))
+    inter = (sw.join(cw, [by, "word"], "inner")
+             .groupBy(id_col, by, "_cid").agg(F.count(F.lit(1)).alias("_hit")))
+    cand = (s.join(c, by, "inner")
+            .join(csize, [by, "_cid"], "left")
+            .join(inter, [id_col, by, "_cid"], "left"))
+    overlap = F.coalesce(F.col("_hit"), F.lit(0)) / F.greatest(
+        F.coalesce(F.col("_ck"), F.lit(0)), F.lit(1))
     score = F.lit(w_cos) * cosine(vec, "_cv", "_sn", "_cn") + F.lit(w_kw) * overlap
-    j = j.withColumn("_score", score)
+    cand = cand.select(id_col, by, "_cid", score.alias("_score"))
     rank_key = F.struct(F.col("_score"), (-F.col("_cid")).alias("_neg"))
-    key_cols = [c for c in samples.columns]
-    best = (j.groupBy(*key_cols)
+    best = (cand.groupBy(id_col, by)
             .agg(F.max_by(F.col("_cid"), rank_key).alias("assigned_cluster"),
                  F.max("_score").alias("match_score")))
     if threshold is not None:
@@ -151,6 +164,34 @@ def assign_nearest(samples: DataFrame, clusters: DataFrame, by: str = "bucket",
     return best
 
 
+def assign_to_centroids(df: DataFrame, cents: DataFrame, vec: str = "embedding",
+                        cluster_id: str = "cluster_id", centroid: str = "centroid",
+                        metric: str = "cosine", out: str = "pred") -> DataFrame:
+    """Nearest of a *model's* k centroids (KMeans-style assignment step).
+
+    The k centroids are packed into one row and broadcast; k is a model
+    parameter (its size is bounded by construction), and each row scans the k
+    candidates with array functions in the JVM.  Ties go to the smallest id.
+    ``metric``: ``cosine`` (max similarity) or ``sqeuclidean`` (min distance).
+    """
+    packed = cents.agg(F.collect_list(F.struct(
+        F.col(cluster_id).alias("cid"), F.col(centroid).alias("c"),
+        norm(centroid).alias("cn"))).alias("_cents"))
+    j = df.crossJoin(F.broadcast(packed)).withColumn("_vn", norm(vec))
+    if metric == "cosine":
+        cand = F.transform("_cents", lambda x: F.struct(
+            cosine(vec, x["c"], "_vn", x["cn"]).alias("s"), (-x["cid"]).alias("neg"),
+            x["cid"].alias("cid")))
+        best = F.array_max(cand)["cid"]
+    else:
+        cand = F.transform("_cents", lambda x: F.struct(
+            F.aggregate(F.zip_with(F.col(vec), x["c"], lambda a, b: (a - b) * (a - b)),
+                        F.lit(0.0), lambda acc, y: acc + y).alias("d"),
+            x["cid"].alias("cid")))
+        best = F.array_min(cand)["cid"]
+    return j.withColumn(out, best).drop("_cents", "_vn")
+
+
 def best_match_similarity(curr: DataFrame, prev: DataFrame, vec: str = "centroid",
                           by=None, id_col: str = "cluster_id") -> DataFrame:
     """JOIN-6 / AGG-21: for each current centroid its max cosine to any
@@ -163,7 +204,9 @@ def best_match_similarity(curr: DataFrame, prev: DataFrame, vec: str = "centroid
     keys = _keys(by)
     p = prev.select(*keys, F.col(vec).alias("_pv"), norm(vec).alias("_pn"))
     c = curr.select(*keys, F.col(id_col), F.col(vec), norm(vec).alias("_cn"))
-    j = c.join(p, keys, "inner") if keys else c.crossJoin(F.broadcast(p))
+    if not keys:
+        raise ValueError("best_match_similarity compares centroid sets per key (window/bucket)")
+    j = c.join(p, keys, "inner")
     best = j.groupBy(*keys, id_col).agg(
         F.max(cosine(vec, "_pv", "_cn", "_pn")).alias("best_sim"))
     return best.groupBy(*keys).agg(F.avg("best_sim").alias("mean_center_sim"),

@@ -10,6 +10,7 @@ _MODULES = [
     "quarry.plans.overlap_plans",
     "quarry.plans.sampling_plans",
     "quarry.plans.sweep_plans",
+    "quarry.plans.cluster_plans",
 ]
 
 
