@@ -115,7 +115,7 @@ ag AS (
 
 
 @register("cluster_agreement", operators=("AGG-14", "AGG-15", "AGG-16", "JOIN-1"),
-          sql=BASE + "," + _agreement_sql("ncc", "label", "pred") + """
+          sql=BASE + "," + _agreement_sql("mem", "label", "pred") + """
 SELECT n, CAST(round(ari, 6) AS DOUBLE) AS ari, CAST(round(nmi, 6) AS DOUBLE) AS nmi,
   CAST(round(homogeneity, 6) AS DOUBLE) AS homogeneity,
   CAST(round(completeness, 6) AS DOUBLE) AS completeness,
