@@ -11,6 +11,7 @@ _MODULES = [
     "quarry.plans.sampling_plans",
     "quarry.plans.sweep_plans",
     "quarry.plans.cluster_plans",
+    "quarry.plans.clustering_plans",
 ]
 
 

@@ -74,12 +74,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage with a reliable checkpoint in the session's shared
-    checkpoint folder (never ``localCheckpoint``: executors can be lost).
+    """Cut lineage by writing the rows as a table in the session's shared
+    checkpoint folder and reading them back (never ``localCheckpoint``:
+    executors can be lost; files on the shared folder survive).
 
     Used where one computed partitioning feeds two consumers (partition ids,
-    positions), so every consumer, and every retried task, reads the same
-    materialised rows instead of re-deriving them.
+    positions) and in iterative jobs, so every consumer and every retried
+    task reads the same rows.  A written table (rather than
+    ``Dataset.checkpoint``) also restarts the size estimate from the file
+    size: a checkpoint keeps its origin plan's estimate, and join estimates
+    multiply across rounds of an iterative job.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
