@@ -12,6 +12,7 @@ _MODULES = [
     "quarry.plans.sweep_plans",
     "quarry.plans.cluster_plans",
     "quarry.plans.clustering_plans",
+    "quarry.plans.stream_plans",
 ]
 
 
