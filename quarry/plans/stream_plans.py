@@ -113,3 +113,49 @@ def q_stream_trigger(spark, sf_dir):
 
 
 _ = sweep_plans  # the batch EMA oracle is registered there
+
+
+def triggered_stream(spark, sf_dir):
+    """Samples that fire the trigger, as a stream: vectors stream in, the
+    band / centroids / documents are static sides."""
+    from quarry.functions.text import keywords
+    comp = trigger_plans.sample_components(spark, sf_dir)
+    band = fit_band(comp, "similarity", where=F.col("quality") == 1).collect()[0]
+    cents = centroids(embeddings(spark, sf_dir), "label")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("sample_id"), F.col("lang").alias("bucket"),
+        keywords("text").alias("keywords"))
+    s = table_stream(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("v"),
+        "label")
+    s = (s.join(cents.select("label", "centroid"), "label")
+         .select("sample_id", "v", logit_margin("v").alias("margin"),
+                 cosine("v", "centroid").alias("similarity"))
+         .withColumn("bleu", F.lit(1.0)).withColumn("rouge", F.lit(1.0))
+         .join(docs, "sample_id"))
+    band_df = spark.range(1).select(F.lit(band["band_lo"]).cast("double").alias("band_lo"),
+                                    F.lit(band["band_hi"]).cast("double").alias("band_hi"))
+    scored = score_anomaly(s, band_df, weights=SLICE_WEIGHTS, max_margin=SLICE_MAX_MARGIN,
+                           threshold=SLICE_THRESHOLD)
+    return scored.filter("trigger").select("bucket", "sample_id", F.col("sample_id").alias("seq"),
+                                           F.col("v").alias("embedding"), "keywords")
+
+
+@register("stream_clusters", operators=("STR-3", "STR-4", "STR-5", "CLU-4", "CLU-5", "FLT-5",
+                                        "FLT-6", "SNK-9"))
+def q_stream_clusters(spark, sf_dir):
+    """Triggered samples routed to per-language buckets and clustered
+    incrementally (parity mode: an attempt on every row from 25 on)."""
+    from quarry.streaming.clusters import stream_clusters
+    ev = stream_clusters(triggered_stream(spark, sf_dir), sim_threshold=0.45,
+                         stability_check=True, merge=False, attempt_every_row=True)
+    return run_available_now(ev, name="stream-clusters")
+
+
+@register("stream_clusters_merge", operators=("CLU-6", "CLU-7", "JOIN-13"))
+def q_stream_clusters_merge(spark, sf_dir):
+    """The ablation with merging on (centre cosine >= 0.8)."""
+    from quarry.streaming.clusters import stream_clusters
+    ev = stream_clusters(triggered_stream(spark, sf_dir), sim_threshold=0.45,
+                         stability_check=True, merge=True, attempt_every_row=True)
+    return run_available_now(ev, name="stream-clusters-merge")
