@@ -13,6 +13,7 @@ _MODULES = [
     "quarry.plans.cluster_plans",
     "quarry.plans.clustering_plans",
     "quarry.plans.stream_plans",
+    "quarry.plans.io_plans",
 ]
 
 
