@@ -14,6 +14,7 @@ _MODULES = [
     "quarry.plans.clustering_plans",
     "quarry.plans.stream_plans",
     "quarry.plans.io_plans",
+    "quarry.plans.curation_plans",
 ]
 
 
