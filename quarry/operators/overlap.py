@@ -14,8 +14,9 @@ length with the bit-parallel algorithm (Allison-Dix / Hyyro): one pass over
 the reference with machine-word operations on a bitset of the prediction,
 O(|a| |b| / 64), exact and on whole texts.
 
-Stemming: ROUGE with a Porter stemmer is not provided yet; tokens are the
-lower-cased ``[a-z0-9]+`` runs (``stem=False``).
+Stemming (``stem=True``): ROUGE tokens longer than three characters are
+reduced with the Porter stemmer (``quarry.functions.porter``) in an Arrow
+UDF; without it tokens are the lower-cased ``[a-z0-9]+`` runs.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 BLEU_EPSILON = 0.1  # smoothing "method1": 0.1 in place of a zero numerator
 
@@ -120,18 +121,30 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs_len(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def stem_tokens(toks: pd.Series) -> pd.Series:
+    """Porter-stem every token longer than 3 characters (ROUGE's rule)."""
+    from quarry.functions.porter import stem
+    return toks.apply(lambda ts: None if ts is None else
+                      [stem(t) if len(t) > 3 else t for t in ts])
+
+
 def f_measure(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
 def score_pairs(df: DataFrame, key: str, pred: str, gold: str,
-                metrics=("bleu4", "bleu1", "rouge1", "rougeL")) -> DataFrame:
+                metrics=("bleu4", "bleu1", "rouge1", "rougeL"), stem: bool = False) -> DataFrame:
     """FN-5..8: adds the requested scores to every (key, pred, gold) row.
 
-    ``key`` must be unique per row.  Rows with empty text score 0.
+    ``key`` must be unique per row.  Rows with empty text score 0.  ``stem``
+    applies the Porter stemmer to the ROUGE tokens.
     """
+    rh, rr = rouge_tokens(pred), rouge_tokens(gold)
+    if stem:
+        rh, rr = stem_tokens(rh), stem_tokens(rr)
     base = df.select("*", ws_tokens(pred).alias("_ph"), ws_tokens(gold).alias("_pr"),
-                     rouge_tokens(pred).alias("_rh"), rouge_tokens(gold).alias("_rr"))
+                     rh.alias("_rh"), rr.alias("_rr"))
     n_part = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = base.repartition(n_part, key)
     fams = {}

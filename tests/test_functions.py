@@ -81,3 +81,22 @@ def test_margin(spark):
 def test_section_parse(spark):
     p = "Context: the ctx\n\nOptions:\n0. a\n1. b\n\nAnswer:"
     assert one(spark, T.section("t", "Context", ("\n\n", "Options:")), t=p) == "the ctx"
+
+
+def test_porter_paper_examples():
+    from quarry.functions.porter import stem
+    cases = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "hopping": "hop",
+             "filing": "file", "happy": "happi", "relational": "relat", "vietnamization":
+             "vietnam", "sensibiliti": "sensibl", "replacement": "replac", "controll": "control",
+             "generalizations": "gener", "feed": "feed", "sing": "sing"}
+    assert {w: stem(w) for w in cases} == cases
+
+
+def test_stemmed_rouge(spark):
+    from quarry.operators.overlap import score_pairs
+    df = spark.createDataFrame([(1, "the runners running", "the runner runs")],
+                               ["k", "pred", "gold"])
+    plain = score_pairs(df, "k", "pred", "gold", ("rouge1",)).first()["rouge1"]
+    stemmed = score_pairs(df, "k", "pred", "gold", ("rouge1", "rougeL"), stem=True).first()
+    assert plain < stemmed["rouge1"] and math.isclose(stemmed["rouge1"], 1.0)
+    assert math.isclose(stemmed["rougeL"], 1.0)
