@@ -6,7 +6,7 @@ one small shuffle on the grouping key (or none for a global row).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -79,8 +79,8 @@ def class_report(df: DataFrame, label: str, pred: str, by=None) -> DataFrame:
                      prec.alias("precision"), rec.alias("recall"))
     per = per.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"),
                                       F.col("precision") + F.col("recall")))
-    # Only classes seen among the true labels are reported (sklearn's report
-    # lists the union; a class that is only predicted has support 0).
+    # Classes are the union of true and predicted labels (a class that is
+    # only predicted has support 0), as in sklearn's report.
     tot = per.groupBy(*keys).agg(
         F.sum("support").alias("_n"), F.sum("tp").alias("_tp"),
         F.avg("precision").alias("_mp"), F.avg("recall").alias("_mr"), F.avg("f1").alias("_mf"),
@@ -131,35 +131,13 @@ def containment_accuracy(df: DataFrame, gold: str, pred: str, by=None) -> DataFr
 
 
 def roc_points(df: DataFrame, label: str, score: str, by=None) -> DataFrame:
-    """WIN-13: ROC curve points (one per distinct score, descending) and the
-    trapezoid AUC per group.
-
-    The cumulative counts are a running window ordered by score inside each
-    group (one sort per group key); the distinct-score collapse happens first,
-    so the window sees at most one row per score value.
-    """
-    keys = _keys(by)
-    y = (F.col(label).cast("int") == 1)
-    g = (df.filter(F.col(label).isNotNull())
-         .groupBy(*keys, F.col(score).alias("thr"))
-         .agg(F.count_if(y).alias("_p"), F.count_if(~y).alias("_n")))
-    w = (Window.partitionBy(*keys).orderBy(F.col("thr").desc())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    wall = Window.partitionBy(*keys)
-    g = (g.withColumn("_tp", F.sum("_p").over(w)).withColumn("_fp", F.sum("_n").over(w))
-         .withColumn("_P", F.sum("_p").over(wall)).withColumn("_N", F.sum("_n").over(wall)))
-    g = g.select(*keys, "thr", _ratio(F.col("_tp"), F.col("_P")).alias("tpr"),
-                 _ratio(F.col("_fp"), F.col("_N")).alias("fpr"))
-    return g
+    """WIN-13: ROC points; see ``sweeps.roc_curve`` (distributed running
+    totals, no single-task window)."""
+    from quarry.operators.sweeps import roc_curve
+    return roc_curve(df, label, score, by)
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by=None) -> DataFrame:
-    """AUC by the trapezoid rule over the ROC points, with (0, 0) prepended."""
-    keys = _keys(by)
-    pts = roc_points(df, label, score, by)
-    w = Window.partitionBy(*keys).orderBy(F.col("thr").desc())
-    pts = (pts.withColumn("_pfpr", F.coalesce(F.lag("fpr").over(w), F.lit(0.0)))
-           .withColumn("_ptpr", F.coalesce(F.lag("tpr").over(w), F.lit(0.0))))
-    area = (F.col("fpr") - F.col("_pfpr")) * (F.col("tpr") + F.col("_ptpr")) / 2
-    return pts.groupBy(*keys).agg(F.sum(area).alias("auc"),
-                                  F.count(F.lit(1)).alias("n_points"))
+    """WIN-13: trapezoid AUC; see ``sweeps.auc``."""
+    from quarry.operators.sweeps import auc
+    return auc(df, label, score, by)

@@ -150,6 +150,12 @@ def q_silhouette(spark, sf_dir):
     return rounded(M.silhouette(e, "vec_id", "label", "embedding"))
 
 
+@register("silhouette_fast", operators=("AGG-17",))
+def q_silhouette_fast(spark, sf_dir):
+    """Linear-time squared-Euclidean silhouette (ClusteringEvaluator)."""
+    return rounded(M.silhouette_squared(embeddings(spark, sf_dir), "label", "embedding"))
+
+
 @register("central_sim", operators=("AGG-19",), sql=f"""
 WITH {_E}, {_CEN}
 SELECT CAST(round(avg({_cos('e.v', 'cen.c')}), 6) AS DOUBLE) AS central_similarity
