@@ -3,13 +3,13 @@
 Fixture roles: a ``documents`` row is a QA record (question = text, context =
 source, long answer = lang, numeric answer = n_chars); its ``lang`` picks the
 source template.  A conversation *pair* is a user turn followed by an
-assistant turn (``lead(role)``): prompt = user text, completion = assistant
+assistant turn (next turn number): prompt = user text, completion = assistant
 text.  Every query reads whole texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -72,14 +72,19 @@ def formatted_documents(spark, sf_dir) -> DataFrame:
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turn followed by an assistant turn, per conversation."""
+    """User turn followed by an assistant turn, per conversation.
+
+    ``turn`` numbers a conversation's turns consecutively, so "the next
+    turn" is an equi-join on (conv_id, turn + 1): it hashes on both columns,
+    so one very long conversation spreads over many tasks instead of one
+    window partition (the DuckDB oracle uses ``lead`` and agrees).
+    """
     c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return (c.select("conv_id", "turn", "role", F.col("text").alias("prompt"),
-                     F.lead("text").over(w).alias("completion"),
-                     F.lead("role").over(w).alias("next_role"))
-            .filter((F.col("role") == "user") & (F.col("next_role") == "assistant"))
-            .drop("role", "next_role"))
+    cur = c.filter(F.col("role") == "user").select(
+        "conv_id", "turn", F.col("text").alias("prompt"))
+    nxt = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("completion"))
+    return cur.join(nxt, ["conv_id", "turn"], "inner")
 
 
 PAIRS_SQL = """
