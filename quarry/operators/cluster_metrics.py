@@ -40,7 +40,15 @@ def agreement(df: DataFrame, truth: str, pred: str, by=None) -> DataFrame:
     completeness and V-measure per ``by`` group (sklearn's conventions for
     the degenerate cases)."""
     keys = _keys(by)
-    cont = contingency(df, truth, pred, keys)
+    return agreement_from_counts(contingency(df, truth, pred, keys), keys)
+
+
+def agreement_from_counts(cont: DataFrame, by=None) -> DataFrame:
+    """``agreement`` from a contingency table (by..., _t, _p, _c): lets
+    callers combine counts (e.g. cumulative windows) without rebuilding
+    rows."""
+    keys = _keys(by)
+    cont = cont.withColumn("_c", F.col("_c").cast("double")).filter(F.col("_c") > 0)
     cells = cont.groupBy(*keys).agg(F.sum("_c").alias("n"), F.sum(F.col("_c") ** 2).alias("ss"),
                                     F.sum(_xlnx(F.col("_c"))).alias("s_cell"))
     rows = (cont.groupBy(*keys, "_t").agg(F.sum("_c").alias("_a"))

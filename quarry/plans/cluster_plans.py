@@ -394,7 +394,6 @@ def q_cumulative_agreement(spark, sf_dir):
     grid = wins.crossJoin(cells)  # windows x occupied cells, both small tables
     g = grid.join(cont, ["window", "label", "pred"], "left").fillna(0, ["c"])
     cum = running_total(g, ["window"], ["c"], by=["label", "pred"])
-    rows = cum.filter(F.col("cum_c") > 0).select(
-        "window", "label", "pred", F.explode(F.array_repeat(F.lit(1), F.col("cum_c").cast("int")))
-        .alias("_one"))
-    return rounded(M.agreement(rows, "label", "pred", by="window"))
+    cont = cum.select("window", F.col("label").alias("_t"), F.col("pred").alias("_p"),
+                      F.col("cum_c").alias("_c"))
+    return rounded(M.agreement_from_counts(cont, by="window"))

@@ -83,3 +83,13 @@ def test_kmeans_partition(spark):
     out, _ = kmeans(df, "v", k=2, seed=42)
     labs = [r["cluster"] for r in out.orderBy("id").collect()]
     assert len(set(labs[:20])) == 1 and len(set(labs[20:])) == 1 and labs[0] != labs[20]
+
+
+def test_cumulative_agreement_last_window_is_global(spark):
+    import __spark_entry__ as se
+    from tests.conftest import SF_MID
+    q = se.queries()
+    cum = q["cumulative_agreement"](spark, SF_MID).orderBy("window").collect()[-1].asDict()
+    glob = q["cluster_agreement"](spark, SF_MID).first().asDict()
+    cum.pop("window")
+    assert cum == glob
