@@ -397,3 +397,41 @@ def q_cumulative_agreement(spark, sf_dir):
     cont = cum.select("window", F.col("label").alias("_t"), F.col("pred").alias("_p"),
                       F.col("cum_c").alias("_c"))
     return rounded(M.agreement_from_counts(cont, by="window"))
+
+
+MERGE_COS = 0.2  # fixture cut (reference default 0.8 merges nothing on this data)
+
+
+@register("merge_clusters", operators=("CLU-6", "JOIN-5", "JOIN-13", "AGG-9"), sql=BASE + f""",
+cm AS (
+  SELECT bucket, label, list(m ORDER BY pos) AS c FROM (
+    SELECT bucket, label, pos, avg(x) AS m FROM (
+      SELECT bucket, label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM mem) t
+    GROUP BY bucket, label, pos) u
+  GROUP BY bucket, label),
+elig AS (SELECT bucket FROM cm GROUP BY bucket HAVING count(*) >= 3),
+ed AS (SELECT a.bucket, a.label AS s, b.label AS t FROM cm a JOIN cm b
+         ON a.bucket = b.bucket AND a.label < b.label
+       WHERE a.bucket IN (SELECT bucket FROM elig) AND {_cos('a.c', 'b.c')} >= {MERGE_COS}),
+und AS (SELECT bucket, s, t FROM ed UNION ALL SELECT bucket, t, s FROM ed),
+cc AS (
+  WITH RECURSIVE r(bucket, node, comp) AS (
+    SELECT bucket, label, label FROM cm
+    UNION
+    SELECT und.bucket, und.t, r.comp FROM r JOIN und ON und.bucket = r.bucket AND und.s = r.node)
+  SELECT bucket, node AS cluster_id, min(comp) AS target_id FROM r GROUP BY bucket, node),
+nn AS (SELECT cc.bucket, cc.target_id, count(*) AS n_after
+       FROM mem JOIN cc ON cc.bucket = mem.bucket AND cc.cluster_id = mem.label
+       GROUP BY cc.bucket, cc.target_id)
+SELECT cc.bucket, cc.cluster_id, cc.target_id, nn.n_after
+FROM cc JOIN nn ON nn.bucket = cc.bucket AND nn.target_id = cc.target_id""")
+def q_merge_clusters(spark, sf_dir):
+    """CLU-6 on the (language, label) clusters: merge map and merged sizes."""
+    from quarry.operators.merge import merge_similar
+    m = ncc_members(spark, sf_dir).select("bucket", F.col("label").alias("cluster_id"),
+                                          "embedding")
+    cl = C.centroids(m, ["bucket", "cluster_id"])
+    mapping, merged = merge_similar(cl, m, threshold=MERGE_COS)
+    return (mapping.join(merged.select("bucket", F.col("cluster_id").alias("target_id"),
+                                       F.col("n").alias("n_after")), ["bucket", "target_id"])
+            .select("bucket", "cluster_id", "target_id", "n_after"))
