@@ -114,6 +114,34 @@ ag AS (
   FROM zz)"""
 
 
+def _agreement_sql_by(src: str, t: str, p: str, g: str) -> str:
+    """``_agreement_sql`` per group ``g`` (a quoted column name)."""
+    return f"""
+gcont AS (SELECT {g} AS g, {t} AS t, {p} AS p, CAST(count(*) AS DOUBLE) AS c
+          FROM {src} GROUP BY 1, 2, 3),
+gcells AS (SELECT g, sum(c) AS n, sum(c * c) AS ss, sum(c * ln(c)) AS s_cell FROM gcont GROUP BY g),
+grw AS (SELECT g, sum(a * a) AS sa2, sum(a * ln(a)) AS s_true, count(*) AS k_true
+        FROM (SELECT g, t, sum(c) AS a FROM gcont GROUP BY g, t) x GROUP BY g),
+gcl AS (SELECT g, sum(b * b) AS sb2, sum(b * ln(b)) AS s_pred, count(*) AS k_pred
+        FROM (SELECT g, p, sum(c) AS b FROM gcont GROUP BY g, p) x GROUP BY g),
+gz AS (SELECT gcells.g, n, ss - n AS tp, sb2 - ss AS fp, sa2 - ss AS fn,
+              n * n - (sb2 - ss) - (sa2 - ss) - ss AS tn,
+              ln(n) + (s_cell - s_true - s_pred) / n AS mi_raw, ln(n) - s_true / n AS ht,
+              ln(n) - s_pred / n AS hp, k_true, k_pred
+       FROM gcells JOIN grw ON grw.g = gcells.g JOIN gcl ON gcl.g = gcells.g),
+gzz AS (SELECT *, CASE WHEN abs(mi_raw) < 1e-15 THEN 0.0 ELSE greatest(mi_raw, 0.0) END AS mi
+        FROM gz),
+gag AS (
+  SELECT g, CAST(n AS BIGINT) AS n,
+    CASE WHEN fn = 0 AND fp = 0 THEN 1.0
+         ELSE 2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)) END AS ari,
+    CASE WHEN k_true = 1 AND k_pred = 1 THEN 1.0 WHEN mi = 0 THEN 0.0
+         ELSE mi / ((ht + hp) / 2) END AS nmi,
+    CASE WHEN ht > 0 THEN mi / ht ELSE 1.0 END AS homogeneity,
+    CASE WHEN hp > 0 THEN mi / hp ELSE 1.0 END AS completeness
+  FROM gzz)"""
+
+
 @register("cluster_agreement", operators=("AGG-14", "AGG-15", "AGG-16", "JOIN-1"),
           sql=BASE + "," + _agreement_sql("mem", "label", "pred") + """
 SELECT n, CAST(round(ari, 6) AS DOUBLE) AS ari, CAST(round(nmi, 6) AS DOUBLE) AS nmi,
@@ -260,7 +288,23 @@ def q_flat_tags(spark, sf_dir):
     return m.select("vec_id", F.concat("bucket", F.lit("_"), F.col("pred").cast("string")).alias("tag"))
 
 
-@register("macro_f1_sources", operators=("AGG-18",))
+@register("macro_f1_sources", operators=("AGG-18",), sql=BASE + """,
+c AS (SELECT pred, source, count(*) AS n FROM mem GROUP BY pred, source),
+maj AS (SELECT pred, arg_min(source, (-n, source)) AS ms FROM c GROUP BY pred),
+x AS (SELECT mem.source AS t, maj.ms AS p FROM mem JOIN maj ON maj.pred = mem.pred),
+cont AS (SELECT t, p, count(*) AS c FROM x GROUP BY t, p),
+cls AS (SELECT t AS cls FROM cont UNION SELECT p FROM cont),
+per AS (
+  SELECT cls.cls,
+    coalesce((SELECT sum(c) FROM cont WHERE t = cls.cls), 0) AS support,
+    coalesce((SELECT sum(c) FROM cont WHERE p = cls.cls), 0) AS predicted,
+    coalesce((SELECT sum(c) FROM cont WHERE t = cls.cls AND p = cls.cls), 0) AS tp
+  FROM cls),
+pr AS (SELECT cls, support,
+         CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS pp,
+         CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rr FROM per),
+f AS (SELECT *, CASE WHEN pp + rr > 0 THEN 2 * pp * rr / (pp + rr) ELSE 0.0 END AS f1 FROM pr)
+SELECT CAST(round(avg(f1), 6) AS DOUBLE) AS macro_f1, CAST(sum(support) AS BIGINT) AS n FROM f""")
 def q_macro_f1_sources(spark, sf_dir):
     return rounded(M.macro_f1_by_majority(ncc_members(spark, sf_dir), "pred", "source"))
 
@@ -382,7 +426,21 @@ def q_snapshot(spark, sf_dir):
     return rounded(j.select("stage", "vec_id", "label", *wide_columns("embedding", 64)))
 
 
-@register("cumulative_agreement", operators=("WIN-11", "WIN-10", "AGG-14", "AGG-15"))
+@register("cumulative_agreement", operators=("WIN-11", "WIN-10", "AGG-14", "AGG-15"),
+          sql=BASE + """,
+wmem AS (SELECT label, pred,
+                CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / 200) AS BIGINT) AS win
+         FROM mem),
+wins AS (SELECT DISTINCT win AS w FROM wmem),
+cum AS (SELECT wins.w, wmem.label, wmem.pred FROM wmem JOIN wins ON wmem.win <= wins.w),""" + \
+    _agreement_sql_by("cum", "label", "pred", "w") + """
+SELECT g AS "window", n, CAST(round(ari, 6) AS DOUBLE) AS ari, CAST(round(nmi, 6) AS DOUBLE) AS nmi,
+  CAST(round(homogeneity, 6) AS DOUBLE) AS homogeneity,
+  CAST(round(completeness, 6) AS DOUBLE) AS completeness,
+  CAST(round(CASE WHEN homogeneity + completeness > 0
+             THEN 2 * homogeneity * completeness / (homogeneity + completeness) ELSE 0.0 END, 6)
+       AS DOUBLE) AS v_measure
+FROM gag""")
 def q_cumulative_agreement(spark, sf_dir):
     """WIN-11: agreement over all rows seen up to each 200-row window."""
     from quarry.operators.indexing import dense_index, running_total
