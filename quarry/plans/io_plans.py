@@ -118,7 +118,8 @@ def q_summary_roundtrip(spark, sf_dir):
     return IO.flatten_summary(back)
 
 
-@register("metrics_log", operators=("SNK-3", "SNK-6", "SNK-4"))
+@register("metrics_log", operators=("SNK-3", "SNK-6", "SNK-4"), sql="""
+SELECT toxic, CAST(2 AS BIGINT) AS runs, count(*) AS n FROM labels GROUP BY toxic""")
 def q_metrics_log(spark, sf_dir):
     """Class counts appended twice to a metrics log and exported as CSV."""
     lab = table(spark, sf_dir, "labels")
