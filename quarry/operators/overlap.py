@@ -1,7 +1,7 @@
 """Text overlap scores over a pair table (FN-5..8, AGG-24).
 
 ``score_pairs`` takes a DataFrame of (key, prediction, reference) rows and
-adds BLEU-4, BLEU-1, ROUGE-1 F and ROUGE-L F on whole texts.
+returns BLEU-4, BLEU-1, ROUGE-1 F and ROUGE-L F per key, on whole texts.
 
 Plan: pair rows are hash-partitioned on the key once; the n-gram explode and
 the (key, n, gram) / (key, n) aggregations that follow are all clustered on
@@ -135,18 +135,24 @@ def f_measure(p: Column, r: Column) -> Column:
 
 def score_pairs(df: DataFrame, key: str, pred: str, gold: str,
                 metrics=("bleu4", "bleu1", "rouge1", "rougeL"), stem: bool = False) -> DataFrame:
-    """FN-5..8: adds the requested scores to every (key, pred, gold) row.
+    """FN-5..8: (key, <metric>...) for every (key, pred, gold) row.
 
-    ``key`` must be unique per row.  Rows with empty text score 0.  ``stem``
-    applies the Porter stemmer to the ROUGE tokens.
+    ``key`` must be unique per row; join the result back on it for other
+    columns.  Rows with empty text score 0.  ``stem`` applies the Porter
+    stemmer to the ROUGE tokens.  Only (key, token arrays) are shuffled, once:
+    the n-gram branch and the per-row branch (lengths, LCS) read the same
+    exchange.
     """
     rh, rr = rouge_tokens(pred), rouge_tokens(gold)
     if stem:
         rh, rr = stem_tokens(rh), stem_tokens(rr)
-    base = df.select("*", ws_tokens(pred).alias("_ph"), ws_tokens(gold).alias("_pr"),
+    base = df.select(key, ws_tokens(pred).alias("_ph"), ws_tokens(gold).alias("_pr"),
                      rh.alias("_rh"), rr.alias("_rr"))
     n_part = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = base.repartition(n_part, key)
+    # an explicit non-null key: the join below would otherwise infer this
+    # filter on one branch only, and the two branches would not share the
+    # exchange
+    base = base.filter(F.col(key).isNotNull()).repartition(n_part, key)
     fams = {}
     if "bleu4" in metrics or "bleu1" in metrics:
         fams["b"] = ("_ph", "_pr", 4 if "bleu4" in metrics else 1)
@@ -160,7 +166,6 @@ def score_pairs(df: DataFrame, key: str, pred: str, gold: str,
             .alias(f"_{fam}{n}")
             for fam, (_, _, mx) in fams.items() for n in range(1, mx + 1)])
         out = out.join(wide, key, "left")
-    cols = [F.col(c) for c in df.columns]
     hl, rl = F.size("_ph"), F.size("_pr")
     num = [F.coalesce(F.col(f"_b{n}"), F.lit(0)) for n in range(1, 5)] if "b" in fams else []
     extra = []
@@ -180,7 +185,7 @@ def score_pairs(df: DataFrame, key: str, pred: str, gold: str,
         r = lcs / rr
         extra.append(F.when((rh == 0) | (rr == 0), F.lit(0.0)).otherwise(f_measure(p, r))
                      .alias("rougeL"))
-    return out.select(*cols, *extra)
+    return out.select(key, *extra)
 
 
 def python_bleu(pred: str, gold: str, weights=(0.25, 0.25, 0.25, 0.25)) -> float:
