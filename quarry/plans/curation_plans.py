@@ -131,7 +131,43 @@ def _attempt_centres(spark, sf_dir):
     return rows
 
 
-@register("attempt_stability", operators=("CLU-4", "JOIN-7", "JOIN-8", "AGG-14"))
+def _attempt_sql() -> str:
+    from quarry.plans.cluster_plans import BASE, _agreement_sql_by, _cos
+    return BASE + """,
+r AS (SELECT bucket, pred, v, row_number() OVER (PARTITION BY bucket ORDER BY vec_id) AS pos
+      FROM mem),
+att AS (SELECT unnest([0, 1, 2]) AS attempt),
+rws AS (SELECT r.*, CAST(att.attempt AS INTEGER) AS attempt FROM r
+        JOIN att ON r.pos <= (att.attempt + 1) * 100),
+al AS (SELECT c.bucket || ':' || CAST(c.attempt AS VARCHAR) AS ga, p.pred AS prev, c.pred AS cur
+       FROM rws c JOIN rws p ON p.bucket = c.bucket AND p.attempt = c.attempt - 1
+                            AND p.pos = c.pos),""" + _agreement_sql_by("al", "prev", "cur", "ga") + """,
+acen0 AS (
+  SELECT bucket, attempt, pred, min(first) AS first, list(m ORDER BY dim) AS c FROM (
+    SELECT bucket, attempt, pred, dim, avg(x) AS m, min(pos) AS first FROM (
+      SELECT bucket, attempt, pred, pos, unnest(v) AS x, generate_subscripts(v, 1) AS dim
+      FROM rws) t GROUP BY bucket, attempt, pred, dim) u
+  GROUP BY bucket, attempt, pred),
+acen AS (SELECT *, row_number() OVER (PARTITION BY bucket, attempt ORDER BY first) AS ord,
+               count(*) OVER (PARTITION BY bucket, attempt) AS k FROM acen0),
+sim AS (SELECT c1.bucket, c1.attempt, avg(""" + _cos("c1.c", "c0.c") + """) AS center_sim
+        FROM acen c1 JOIN acen c0 ON c0.bucket = c1.bucket AND c0.attempt = c1.attempt - 1
+                              AND c0.ord = c1.ord AND c0.k = c1.k
+        GROUP BY c1.bucket, c1.attempt),
+ks AS (SELECT DISTINCT bucket, attempt, k FROM acen),
+res AS (
+  SELECT ks.bucket, ks.attempt, ks.k, coalesce(gag.ari, 0.0) AS ari,
+         coalesce(sim.center_sim, 0.0) AS center_sim
+  FROM ks LEFT JOIN gag ON gag.g = ks.bucket || ':' || CAST(ks.attempt AS VARCHAR)
+  LEFT JOIN sim ON sim.bucket = ks.bucket AND sim.attempt = ks.attempt)
+SELECT bucket, attempt, k, CAST(round(ari, 6) AS DOUBLE) AS ari,
+       CAST(round(center_sim, 6) AS DOUBLE) AS center_sim,
+       ari >= 0.8 AND center_sim >= 0.5 AS stable
+FROM res"""
+
+
+@register("attempt_stability", operators=("CLU-4", "JOIN-7", "JOIN-8", "AGG-14"),
+          sql=_attempt_sql())
 def q_attempt_stability(spark, sf_dir):
     """CLU-4: attempt a vs a-1 per bucket: ARI over the common prefix
     (JOIN-8, rows joined on position), mean cosine of centres zipped by order
