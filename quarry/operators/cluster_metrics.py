@@ -143,40 +143,30 @@ def metric_consistency(df: DataFrame, method: str, metric: str) -> DataFrame:
 
 # ---- exact Euclidean silhouette on tiles ---------------------------------
 
-def _tile_sums(pdf_iter, k_max: int):
+def _tile_sums(pdf_iter):
     """For packed tile pairs, per-point distance sums to each cluster."""
+    from quarry.operators.graph import block
+    empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "cl": pd.Series(dtype="int64"),
+                          "other": pd.Series(dtype="int64"), "s": pd.Series(dtype="float64"),
+                          "c": pd.Series(dtype="int64")})
     for pdf in pdf_iter:
         out = []
         for _, row in pdf.iterrows():
-            ai = np.asarray(row["a_ids"])
-            ac = np.asarray(row["a_cl"])
-            av = np.stack(row["a_vec"]).astype(np.float64)
-            bi = np.asarray(row["b_ids"])
-            bc = np.asarray(row["b_cl"])
-            bv = np.stack(row["b_vec"]).astype(np.float64)
-            d2 = ((av * av).sum(1)[:, None] + (bv * bv).sum(1)[None, :] - 2.0 * av @ bv.T)
-            d = np.sqrt(np.maximum(d2, 0.0))
+            ai, ac = np.asarray(row["a_id"]), np.asarray(row["a_cl"])
+            bi, bc = np.asarray(row["b_id"]), np.asarray(row["b_cl"])
+            d = block(np.stack(row["a_v"]), np.stack(row["b_v"]), "euclidean")
             same = ai[:, None] == bi[None, :]
             d[same] = 0.0
-            ub = np.unique(bc)
-            for c in ub:
+            for c in np.unique(bc):
                 m = bc == c
-                s = d[:, m].sum(1)
-                cnt = m.sum() - (same[:, m].sum(1))
-                out.append(pd.DataFrame({"id": ai, "cl": ac, "other": c, "s": s, "c": cnt}))
+                out.append(pd.DataFrame({"id": ai, "cl": ac, "other": c, "s": d[:, m].sum(1),
+                                         "c": m.sum() - same[:, m].sum(1)}))
             if row["s_tile"] != row["t_tile"]:
-                ua = np.unique(ac)
-                for c in ua:
+                for c in np.unique(ac):
                     m = ac == c
-                    s = d[m, :].sum(0)
-                    cnt = m.sum() - (same[m, :].sum(0))
-                    out.append(pd.DataFrame({"id": bi, "cl": bc, "other": c, "s": s, "c": cnt}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
-        else:
-            yield pd.DataFrame({"id": pd.Series(dtype="int64"), "cl": pd.Series(dtype="int64"),
-                                "other": pd.Series(dtype="int64"),
-                                "s": pd.Series(dtype="float64"), "c": pd.Series(dtype="int64")})
+                    out.append(pd.DataFrame({"id": bi, "cl": bc, "other": c, "s": d[m, :].sum(0),
+                                             "c": m.sum() - same[m, :].sum(0)}))
+        yield pd.concat(out, ignore_index=True) if out else empty
 
 
 def silhouette(df: DataFrame, id_col: str, cluster: str, vec: str,
@@ -184,31 +174,17 @@ def silhouette(df: DataFrame, id_col: str, cluster: str, vec: str,
     """AGG-17: exact mean silhouette with Euclidean distance; null unless
     1 < #clusters < n.
 
-    Work units are *tile pairs* (s <= t): points are hashed into tiles of
-    about ``tile_size``, each tile packed into one row, and the tile-pair
-    list is an equi-join on generated pair ids.  A pandas task computes the
-    distance block with one matrix product and emits only per-point sums to
+    Work units are tile pairs (``graph.tile_pairs``): a pandas task computes
+    one distance block with a matrix product and emits only per-point sums to
     each cluster, never the pairs.  Quadratic by definition; for very large
-    inputs ``ClusteringEvaluator`` gives the (different) squared-Euclidean
-    silhouette in linear time.
+    inputs ``silhouette_squared`` (``ClusteringEvaluator``) gives the
+    different squared-Euclidean silhouette in linear time.
     """
-    spark = df.sparkSession
+    from quarry.operators.graph import tile_pairs
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(cluster).cast("long").alias("cl"),
                      F.col(vec).cast("array<double>").alias("v"))
-    n = base.count()
-    n_tiles = max(1, int(np.ceil(n / tile_size)))
-    tiles = (base.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(n_tiles)))
-             .groupBy("tile").agg(F.collect_list("id").alias("ids"), F.collect_list("cl").alias("cl"),
-                                  F.collect_list("v").alias("vec")))
-    pairs = (spark.range(n_tiles).select(F.col("id").alias("s_tile"))
-             .withColumn("t_tile", F.explode(F.sequence(F.col("s_tile"), F.lit(n_tiles - 1)))))
-    a = tiles.select(F.col("tile").alias("s_tile"), F.col("ids").alias("a_ids"),
-                     F.col("cl").alias("a_cl"), F.col("vec").alias("a_vec"))
-    b = tiles.select(F.col("tile").alias("t_tile"), F.col("ids").alias("b_ids"),
-                     F.col("cl").alias("b_cl"), F.col("vec").alias("b_vec"))
-    work = pairs.join(a, "s_tile").join(b, "t_tile")
-    sums = work.mapInPandas(lambda it: _tile_sums(it, 0),
-                            "id long, cl long, other long, s double, c long")
+    work = tile_pairs(base, "id", "v", None, tile_size, extra=["cl"])
+    sums = work.mapInPandas(_tile_sums, "id long, cl long, other long, s double, c long")
     per = sums.groupBy("id", "cl", "other").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
     mean = F.col("s") / F.col("c")
     pt = per.groupBy("id", "cl").agg(

@@ -17,9 +17,6 @@ from quarry.operators.quantiles import exact_quantiles
 from quarry.plans.registry import register, rounded
 from quarry.sources.tables import embeddings, table
 
-STOP_SQL = None  # filled from text_plans at import
-
-
 def ncc_members(spark, sf_dir):
     """Members table: vec_id, embedding, label (truth), pred (nearest label
     centroid), bucket (lang), source."""

@@ -11,7 +11,8 @@ from quarry.functions.text import structure_tag
 from quarry.functions.vectors import cosine, logit_margin
 from quarry.operators.centroids import centroids
 from quarry.operators.trigger import fit_band, score_anomaly
-from quarry.plans import sweep_plans, trigger_plans
+from quarry.plans import sweep_plans  # noqa: F401  (registers the batch EMA oracle)
+from quarry.plans import trigger_plans
 from quarry.plans.registry import REGISTRY, register, rounded
 from quarry.plans.trigger_plans import SLICE_MAX_MARGIN, SLICE_THRESHOLD, SLICE_WEIGHTS
 from quarry.sources.tables import embeddings, table
@@ -112,8 +113,6 @@ def q_stream_trigger(spark, sf_dir):
     return rounded(out)
 
 
-_ = sweep_plans  # the batch EMA oracle is registered there
-
 
 def triggered_stream(spark, sf_dir):
     """Samples that fire the trigger, as a stream: vectors stream in, the
