@@ -91,15 +91,17 @@ def stream_latest(sdf: DataFrame, key: str, seq: str, cols: list[str]) -> DataFr
 
 
 def event_time_counts(sdf: DataFrame, ts: str, by: str, window: str = "1 hour",
-                      watermark: str = "1 hour", flag: str | None = None) -> DataFrame:
-    """STR-10: tumbling event-time counts per key with a watermark; a window
-    is emitted once the watermark passes its end (append mode), rows later
-    than the watermark are dropped.  ``flag`` also counts rows where it is
-    true (e.g. triggers)."""
+                      watermark: str = "1 hour", flag: str | None = None,
+                      slide: str | None = None) -> DataFrame:
+    """STR-10: tumbling (or, with ``slide``, sliding) event-time counts per
+    key with a watermark; a window is emitted once the watermark passes its
+    end (append mode), rows later than the watermark are dropped.  ``flag``
+    also counts rows where it is true (e.g. triggers)."""
     s = sdf.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     aggs = [F.count(F.lit(1)).alias("n")]
     if flag:
         aggs.append(F.sum(F.col(flag).cast("long")).alias("n_flagged"))
-    g = s.groupBy(F.window(ts, window).alias("w"), by).agg(*aggs)
+    w = F.window(ts, window, slide) if slide else F.window(ts, window)
+    g = s.groupBy(w.alias("w"), by).agg(*aggs)
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     by, *[a.split(" AS ")[-1] for a in ["n"] + (["n_flagged"] if flag else [])])
