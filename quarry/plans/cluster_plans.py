@@ -307,9 +307,8 @@ def q_macro_f1_sources(spark, sf_dir):
 
 
 def _window_cents(spark, sf_dir, size=200):
-    from quarry.operators.indexing import dense_index
-    e = embeddings(spark, sf_dir)
-    w = dense_index(e, "vec_id", "_i").withColumn("window", F.floor(F.col("_i") / size).cast("long"))
+    from quarry.operators.buffer_ops import count_windows
+    w = count_windows(embeddings(spark, sf_dir), "vec_id", size)
     return C.centroids(w, ["window", "label"]).withColumnRenamed("label", "cluster_id")
 
 
@@ -334,27 +333,6 @@ def q_window_drift(spark, sf_dir):
     return rounded(C.best_match_similarity(wc, prev, "centroid", by="win"))
 
 
-def _pair_sample(spark, sf_dir, max_pairs=1000, seed=42):
-    """JOIN-12: a seeded sample of up to ``max_pairs`` distinct pairs i < j,
-    drawn by index without listing all pairs: draw k gives
-    i = h(seed:k:a) mod n, j = h(seed:k:b) mod n."""
-    from quarry.operators.indexing import dense_index
-    e = dense_index(embeddings(spark, sf_dir), "vec_id", "_i")
-    n = e.agg(F.count(F.lit(1)).alias("n"))
-
-    def h(tag):
-        s = F.concat(F.lit(f"{seed}:"), F.col("k").cast("string"), F.lit(f":{tag}"))
-        return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long")
-
-    draws = (spark.range(max_pairs).withColumnRenamed("id", "k").crossJoin(F.broadcast(n))
-             .select(F.pmod(h("a"), F.col("n")).alias("x"), F.pmod(h("b"), F.col("n")).alias("y"))
-             .filter(F.col("x") != F.col("y"))
-             .select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct())
-    a = e.select(F.col("_i").alias("i"), F.col("embedding").alias("va"))
-    b = e.select(F.col("_i").alias("j"), F.col("embedding").alias("vb"))
-    return draws.join(a, "i").join(b, "j").select("i", "j", cosine("va", "vb").alias("cos"))
-
-
 @register("auto_threshold", operators=("AGG-8", "JOIN-12"), sql="""
 WITH e AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS i,
                   CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -374,13 +352,8 @@ SELECT count(*) AS n_pairs,
          AS similarity_threshold
 FROM c""")
 def q_auto_threshold(spark, sf_dir):
-    p = _pair_sample(spark, sf_dir)
-    q = exact_quantiles(p, "cos", [0.3], names=["q30"])
-    one = spark.range(1).select(F.lit(1).alias("_k"))
-    j = one.join(q.withColumn("_k", F.lit(1)), "_k", "left")
-    return rounded(j.select(F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_pairs"),
-                            F.when(F.col("n") >= 2, F.col("q30")).otherwise(F.lit(0.45))
-                            .alias("similarity_threshold")))
+    from quarry.operators.buffer_ops import auto_threshold
+    return rounded(auto_threshold(embeddings(spark, sf_dir), "vec_id", "embedding"))
 
 
 @register("cluster_integrity", operators=("AGG-28", "JOIN-13", "AGG-30"), sql=BASE + """
@@ -393,18 +366,10 @@ GROUP BY m.bucket""")
 def q_cluster_integrity(spark, sf_dir):
     """Members against a cluster table missing cluster 0 (a deleted cluster):
     orphan counts per bucket (anti-join) and the live cluster count."""
-    m = ncc_members(spark, sf_dir)
-    cl = (m.filter(F.col("pred") != 0).select("bucket", F.col("pred").alias("cluster_id"))
-          .distinct())
-    orphans = m.join(cl, (m.bucket == cl.bucket) & (m.pred == cl.cluster_id), "left_anti") \
-        .groupBy("bucket").agg(F.count(F.lit(1)).alias("orphan_members"))
-    live = m.join(cl.withColumnRenamed("cluster_id", "pred"), ["bucket", "pred"], "left_semi")
-    tot = m.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
-    lc = live.groupBy("bucket").agg(F.countDistinct("pred").alias("clusters"))
-    return (tot.join(orphans, "bucket", "left").join(lc, "bucket", "left")
-            .select("bucket", "members",
-                    F.coalesce("orphan_members", F.lit(0)).alias("orphan_members"),
-                    F.coalesce("clusters", F.lit(0)).alias("clusters")))
+    from quarry.operators.buffer_ops import check_integrity
+    m = ncc_members(spark, sf_dir).select("bucket", F.col("pred").alias("cluster_id"))
+    cl = m.filter(F.col("cluster_id") != 0).distinct()
+    return check_integrity(m, cl)
 
 
 @register("snapshot", operators=("SNK-4", "PRJ-13", "JOIN-14"), sql="""

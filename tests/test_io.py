@@ -54,3 +54,20 @@ def test_csv_and_metrics_log(spark):
     IO.append_metrics(df, os.path.join(d, "log"))
     IO.append_metrics(df, os.path.join(d, "log"))
     assert spark.read.parquet(os.path.join(d, "log")).count() == 2
+
+
+def test_buffer_ops_helpers(spark):
+    from quarry.operators import buffer_ops as B
+    df = spark.createDataFrame([("x #### 7\nfinal answer is 3", 4.0),
+                                ("Context: c1\n\nOptions:\n0. a\nAnswer:", 0.0)], ["t", "lab"])
+    r = df.select(B.extract_number("t", "gold").alias("g"), B.extract_number("t", "final").alias("f"),
+                  B.extract_number("t", "nearest", "lab").alias("n")).first()
+    assert (r["g"], r["f"], r["n"]) == (7, 3, 3)
+    p = B.parse_sections(df.withColumnRenamed("t", "prompt")).collect()[1]
+    assert p["context"] == "c1" and p["options"] == "0. a"
+    d = tempfile.mkdtemp(prefix="bo-")
+    for fmt in ("json", "csv", "log"):
+        B.write_metrics(df, os.path.join(d, fmt), fmt)
+    assert spark.read.parquet(os.path.join(d, "log")).count() == 2
+    w = B.count_windows(spark.range(450).withColumnRenamed("id", "i"), "i", 200)
+    assert sorted(r["window"] for r in w.groupBy("window").count().collect()) == [0, 1, 2]
