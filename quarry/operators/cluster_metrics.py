@@ -60,7 +60,8 @@ def agreement_from_counts(cont: DataFrame, by=None) -> DataFrame:
                                 F.sum(_xlnx(F.col("_b"))).alias("s_pred"),
                                 F.count(F.lit(1)).alias("k_pred")))
     if keys:
-        j = cells.join(rows, keys).join(cols, keys)
+        from quarry.operators.indexing import join_null_safe
+        j = join_null_safe(join_null_safe(cells, rows, keys), cols, keys)
     else:
         j = cells.crossJoin(rows).crossJoin(cols)  # one row each
     n, ss = F.col("n"), F.col("ss")

@@ -52,6 +52,19 @@ def running_total(df: DataFrame, order, sums, by=None, prefix: str = "cum_",
     wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = stats.select("_pid", *keys, *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0))
                                          .alias(f"_o_{c}") for c in sums])
-    res = local.join(offs, ["_pid", *keys], "inner")
+    res = join_null_safe(local, offs, ["_pid", *keys])
     return res.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(prefix + c)
                                      for c in sums])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null matches null (``<=>``), keeping one
+    copy of the key columns: group keys may be null and must not drop rows."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c)
+                       for c in right.columns])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])

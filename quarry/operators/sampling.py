@@ -79,7 +79,8 @@ def group_rank(df: DataFrame, by, order, out: str = "rn", count_out: str | None
     if count_out:
         offs = offs.withColumn(count_out, F.sum("_cnt").over(Window.partitionBy(*keys)))
     keep = ["_pid", *keys, "_off", "_first"] + ([count_out] if count_out else [])
-    res = parted.join(offs.select(*keep), ["_pid", *keys], "inner")
+    from quarry.operators.indexing import join_null_safe
+    res = join_null_safe(parted, offs.select(*keep), ["_pid", *keys])
     rank = F.col("_off") + (F.col("_pos") - F.col("_first")) + 1
     return res.withColumn(out, rank.cast("long")).drop("_pid", "_pos", "_off", "_first")
 
@@ -107,7 +108,8 @@ def balance(df: DataFrame, label: str, id_col: str, seed: int = 42,
         target = target.withColumn("_k", F.least(F.col("_k"), F.lit(cap)))
     ranked = group_rank(df.withColumn("_h", hash_order(id_col, seed)), grp, ["_h"], "_rn")
     if outer:
-        ranked = ranked.join(target, outer, "inner")
+        from quarry.operators.indexing import join_null_safe
+        ranked = join_null_safe(ranked, target, outer)
     else:
         ranked = ranked.crossJoin(F.broadcast(target))  # one row
     return ranked.filter(F.col("_rn") <= F.col("_k")).drop("_h", "_rn", "_k")

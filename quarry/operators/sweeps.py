@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.centroids import vector_sum
-from quarry.operators.indexing import running_total
+from quarry.operators.indexing import join_null_safe, running_total
 from quarry.operators.quantiles import exact_quantiles
 from quarry.operators.trigger import raw_score
 
@@ -139,7 +139,7 @@ def roc_curve(df: DataFrame, label: str, score: str, by=None) -> DataFrame:
          .agg(F.count_if(y).alias("p"), F.count_if(~y).alias("n")))
     tot = g.groupBy(*keys).agg(F.sum("p").alias("_tot_p"), F.sum("n").alias("_tot_n"))
     cum = running_total(g, [F.col("thr").desc()], ["p", "n"], by=keys)
-    cum = cum.join(tot, keys, "inner") if keys else cum.crossJoin(F.broadcast(tot))
+    cum = join_null_safe(cum, tot, keys) if keys else cum.crossJoin(F.broadcast(tot))
     tp, tn = F.col("_tot_p"), F.col("_tot_n")
     return cum.select(*keys, "thr",
                       F.when(tp > 0, F.col("cum_p") / tp).otherwise(0.0).alias("tpr"),

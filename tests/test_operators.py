@@ -167,3 +167,18 @@ def test_balance_gives_equal_classes(spark):
     assert counts == {"a": 100, "b": 100}
     again = {r["id"] for r in SM.balance(df, "lab", "id", seed=7).collect()}
     assert again == {r["id"] for r in out.collect()}  # seeded: the same draw
+
+
+def test_group_rank_keeps_null_groups(spark):
+    rows = [(None if i % 3 == 0 else "g", i) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, id long")
+    r = SM.group_rank(df, "g", ["id"], "rk", "n")
+    got = {(x["g"], x["rk"]) for x in r.collect()}
+    assert r.count() == 30 and (None, 10) in got and ("g", 20) in got
+
+
+def test_running_total_null_groups(spark):
+    from quarry.operators.indexing import running_total
+    df = spark.createDataFrame([(None, 1, 1), (None, 2, 2), ("a", 1, 5)], "g string, o long, v long")
+    got = {(r["g"], r["o"]): r["cum_v"] for r in running_total(df, ["o"], ["v"], by="g").collect()}
+    assert got == {(None, 1): 1, (None, 2): 3, ("a", 1): 5}
