@@ -42,7 +42,8 @@ def tile_pairs(df: DataFrame, id_col: str, vec: str, by=None, tile_size: int = 2
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_tiles", F.greatest(F.ceil(F.col("_n") / tile_size), F.lit(1))
                              .cast("long"))
-    t = (base.join(sizes, keys, "inner") if keys else base.crossJoin(F.broadcast(sizes)))
+    from quarry.operators.indexing import join_null_safe
+    t = (join_null_safe(base, sizes, keys) if keys else base.crossJoin(F.broadcast(sizes)))
     t = t.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("_tiles")))
     packed = t.groupBy(*keys, "tile", "_tiles").agg(
         F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"),
@@ -54,7 +55,7 @@ def tile_pairs(df: DataFrame, id_col: str, vec: str, by=None, tile_size: int = 2
     b = packed.select(*keys, F.col("tile").alias("t_tile"), F.col("ids").alias("b_id"),
                       F.col("vs").alias("b_v"), *[F.col(f"x_{c}").alias(f"b_{c}") for c in extra])
     # inner joins drop tile pairs whose far tile is empty
-    return pairs.join(a, keys + ["s_tile"]).join(b, keys + ["t_tile"])
+    return join_null_safe(join_null_safe(pairs, a, keys + ["s_tile"]), b, keys + ["t_tile"])
 
 
 def block(av: np.ndarray, bv: np.ndarray, metric: str) -> np.ndarray:
