@@ -166,14 +166,19 @@ def assign_nearest(samples: DataFrame, clusters: DataFrame, by: str = "bucket",
 
 def assign_to_centroids(df: DataFrame, cents: DataFrame, vec: str = "embedding",
                         cluster_id: str = "cluster_id", centroid: str = "centroid",
-                        metric: str = "cosine", out: str = "pred") -> DataFrame:
+                        metric: str = "cosine", out: str = "pred",
+                        max_k: int = 100_000) -> DataFrame:
     """Nearest of a *model's* k centroids (KMeans-style assignment step).
 
-    The k centroids are packed into one row and broadcast; k is a model
-    parameter (its size is bounded by construction), and each row scans the k
-    candidates with array functions in the JVM.  Ties go to the smallest id.
-    ``metric``: ``cosine`` (max similarity) or ``sqeuclidean`` (min distance).
+    The k centroids are packed into one row and broadcast, and each row scans
+    the k candidates with array functions in the JVM.  The broadcast is
+    guarded: k is counted first (a scan of the small centroid table) and more
+    than ``max_k`` centroids is refused rather than shipped to every task.
+    Ties go to the smallest id.  ``metric``: ``cosine`` (max similarity) or
+    ``sqeuclidean`` (min distance).
     """
+    if cents.limit(max_k + 1).count() > max_k:
+        raise ValueError(f"more than {max_k} centroids: not a model-sized table to broadcast")
     packed = cents.agg(F.collect_list(F.struct(
         F.col(cluster_id).alias("cid"), F.col(centroid).alias("c"),
         norm(centroid).alias("cn"))).alias("_cents"))
