@@ -64,6 +64,12 @@ def agreement_from_counts(cont: DataFrame, by=None) -> DataFrame:
         j = join_null_safe(join_null_safe(cells, rows, keys), cols, keys)
     else:
         j = cells.crossJoin(rows).crossJoin(cols)  # one row each
+    return _agreement_from_sums(j, keys)
+
+
+def _agreement_from_sums(j: DataFrame, keys) -> DataFrame:
+    """Scores from the sufficient sums (n, ss, s_cell, sa2, s_true, k_true,
+    sb2, s_pred, k_pred) of a contingency table."""
     n, ss = F.col("n"), F.col("ss")
     tp = ss - n
     fp = F.col("sb2") - ss
@@ -89,6 +95,41 @@ def agreement_from_counts(cont: DataFrame, by=None) -> DataFrame:
     return out.withColumn("v_measure", v)
 
 
+def cumulative_agreement(df: DataFrame, truth: str, pred: str, window: str) -> DataFrame:
+    """WIN-11: agreement over all rows up to each window, without rebuilding
+    a windows x cells grid.  Every score is a function of sums over cells,
+    rows and columns (sum c^2, sum c ln c, counts); a window changes only the
+    cells it touches, so per window only deltas such as (c + d)^2 - c^2 are
+    computed (c from a distributed running total per cell), and the
+    cumulative sums are running totals of the per-window deltas."""
+    from quarry.operators.indexing import join_null_safe, running_total
+    base = df.filter(F.col(truth).isNotNull() & F.col(pred).isNotNull())
+
+    def deltas(keys, name):
+        g = base.groupBy(window, *keys).agg(F.count(F.lit(1)).cast("double").alias("_d"))
+        cum = running_total(g, [window], ["_d"], by=keys)
+        now, before = F.col("cum__d"), F.col("cum__d") - F.col("_d")
+        return cum.groupBy(window).agg(
+            F.sum(now * now - before * before).alias(f"{name}_sq"),
+            F.sum(_xlnx(now) - _xlnx(before)).alias(f"{name}_xl"),
+            F.count_if(before == 0).alias(f"{name}_new"),
+            F.sum("_d").alias(f"{name}_n"))
+
+    cells = deltas([truth, pred], "c")
+    rows = deltas([truth], "r")
+    cols = deltas([pred], "p")
+    per = join_null_safe(join_null_safe(cells, rows, [window]), cols, [window])
+    sums = ["c_n", "c_sq", "c_xl", "r_sq", "r_xl", "r_new", "p_sq", "p_xl", "p_new"]
+    cum = running_total(per.select(window, *[F.col(c).cast("double").alias(c) for c in sums]),
+                        [window], sums)
+    j = cum.select(window, F.col("cum_c_n").alias("n"), F.col("cum_c_sq").alias("ss"),
+                   F.col("cum_c_xl").alias("s_cell"), F.col("cum_r_sq").alias("sa2"),
+                   F.col("cum_r_xl").alias("s_true"), F.col("cum_r_new").alias("k_true"),
+                   F.col("cum_p_sq").alias("sb2"), F.col("cum_p_xl").alias("s_pred"),
+                   F.col("cum_p_new").alias("k_pred"))
+    return _agreement_from_sums(j, [window])
+
+
 def cluster_sizes(df: DataFrame, cluster: str, by=None) -> DataFrame:
     """AGG-12 / AGG-20: samples per cluster and, per ``by`` group, the
     cluster count and the population std of the sizes."""

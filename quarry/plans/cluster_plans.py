@@ -405,18 +405,9 @@ SELECT g AS "window", n, CAST(round(ari, 6) AS DOUBLE) AS ari, CAST(round(nmi, 6
 FROM gag""")
 def q_cumulative_agreement(spark, sf_dir):
     """WIN-11: agreement over all rows seen up to each 200-row window."""
-    from quarry.operators.indexing import dense_index, running_total
-    m = dense_index(ncc_members(spark, sf_dir), "vec_id", "_i") \
-        .withColumn("window", F.floor(F.col("_i") / 200).cast("long"))
-    cont = m.groupBy("window", "label", "pred").agg(F.count(F.lit(1)).alias("c"))
-    wins = m.select("window").distinct()
-    cells = m.select("label", "pred").distinct()
-    grid = wins.crossJoin(cells)  # windows x occupied cells, both small tables
-    g = grid.join(cont, ["window", "label", "pred"], "left").fillna(0, ["c"])
-    cum = running_total(g, ["window"], ["c"], by=["label", "pred"])
-    cont = cum.select("window", F.col("label").alias("_t"), F.col("pred").alias("_p"),
-                      F.col("cum_c").alias("_c"))
-    return rounded(M.agreement_from_counts(cont, by="window"))
+    from quarry.operators.buffer_ops import count_windows
+    m = count_windows(ncc_members(spark, sf_dir), "vec_id", 200)
+    return rounded(M.cumulative_agreement(m, "label", "pred", "window"))
 
 
 MERGE_COS = 0.2  # fixture cut (reference default 0.8 merges nothing on this data)
