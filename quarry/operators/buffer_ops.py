@@ -31,7 +31,7 @@ def sample_pairs(df: DataFrame, id_col: str, vec: str, max_pairs: int = 1000,
         s = F.concat(F.lit(f"{seed}:"), F.col("k").cast("string"), F.lit(f":{tag}"))
         return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long")
 
-    draws = (spark.range(max_pairs).withColumnRenamed("id", "k").crossJoin(F.broadcast(n))
+    draws = (spark.range(max_pairs).withColumnRenamed("id", "k").crossJoin(F.broadcast(n))  # n: one row
              .select(F.pmod(h("a"), F.col("n")).alias("x"), F.pmod(h("b"), F.col("n")).alias("y"))
              .filter(F.col("x") != F.col("y"))
              .select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct())

@@ -182,7 +182,7 @@ def assign_to_centroids(df: DataFrame, cents: DataFrame, vec: str = "embedding",
     packed = cents.agg(F.collect_list(F.struct(
         F.col(cluster_id).alias("cid"), F.col(centroid).alias("c"),
         norm(centroid).alias("cn"))).alias("_cents"))
-    j = df.crossJoin(F.broadcast(packed)).withColumn("_vn", norm(vec))
+    j = df.crossJoin(F.broadcast(packed)).withColumn("_vn", norm(vec))  # one packed row
     if metric == "cosine":
         cand = F.transform("_cents", lambda x: F.struct(
             cosine(vec, x["c"], "_vn", x["cn"]).alias("s"), (-x["cid"]).alias("neg"),

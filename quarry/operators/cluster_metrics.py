@@ -179,7 +179,7 @@ def metric_consistency(df: DataFrame, method: str, metric: str) -> DataFrame:
     """AGG-29: every metric present for every method."""
     per = df.groupBy(metric).agg(F.countDistinct(method).alias("n_methods"))
     tot = df.agg(F.countDistinct(method).alias("_all"))
-    return per.crossJoin(F.broadcast(tot)).select(
+    return per.crossJoin(F.broadcast(tot)).select(  # tot: one row
         metric, "n_methods", (F.col("n_methods") == F.col("_all")).alias("consistent"))
 
 

@@ -43,7 +43,7 @@ def tile_pairs(df: DataFrame, id_col: str, vec: str, by=None, tile_size: int = 2
     sizes = sizes.withColumn("_tiles", F.greatest(F.ceil(F.col("_n") / tile_size), F.lit(1))
                              .cast("long"))
     from quarry.operators.indexing import join_null_safe
-    t = (join_null_safe(base, sizes, keys) if keys else base.crossJoin(F.broadcast(sizes)))
+    t = (join_null_safe(base, sizes, keys) if keys else base.crossJoin(F.broadcast(sizes)))  # no keys: one row
     t = t.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("_tiles")))
     packed = t.groupBy(*keys, "tile", "_tiles").agg(
         F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"),

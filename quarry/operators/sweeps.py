@@ -89,7 +89,7 @@ def sweep_weights(scored: DataFrame, label: str, threshold: float, max_margin: f
     src = scored
     inside = F.lit(False)
     if band is not None:
-        src = src.crossJoin(F.broadcast(band.select("band_lo", "band_hi")))
+        src = src.crossJoin(F.broadcast(band.select("band_lo", "band_hi")))  # one row
         inside = (F.col(similarity) > F.col("band_lo")) & (F.col(similarity) < F.col("band_hi"))
     inds = []
     for br, sim, _, _ in grid:
@@ -139,7 +139,7 @@ def roc_curve(df: DataFrame, label: str, score: str, by=None) -> DataFrame:
          .agg(F.count_if(y).alias("p"), F.count_if(~y).alias("n")))
     tot = g.groupBy(*keys).agg(F.sum("p").alias("_tot_p"), F.sum("n").alias("_tot_n"))
     cum = running_total(g, [F.col("thr").desc()], ["p", "n"], by=keys)
-    cum = join_null_safe(cum, tot, keys) if keys else cum.crossJoin(F.broadcast(tot))
+    cum = join_null_safe(cum, tot, keys) if keys else cum.crossJoin(F.broadcast(tot))  # 1 row
     tp, tn = F.col("_tot_p"), F.col("_tot_n")
     return cum.select(*keys, "thr",
                       F.when(tp > 0, F.col("cum_p") / tp).otherwise(0.0).alias("tpr"),

@@ -69,7 +69,7 @@ def score_anomaly(df: DataFrame, band: DataFrame | None = None, weights=None,
     s = raw_score(F.col(margin), F.col(bleu), F.col(rouge), F.col(similarity),
                   weights, max_margin)
     if band is not None:
-        out = out.crossJoin(F.broadcast(band.select("band_lo", "band_hi")))
+        out = out.crossJoin(F.broadcast(band.select("band_lo", "band_hi")))  # one row
         inside = (F.col(similarity) > F.col("band_lo")) & (F.col(similarity) < F.col("band_hi"))
         s = F.when(inside, s * F.lit(0.5)).otherwise(s)
     out = out.withColumn("anomaly_score", s)

@@ -148,4 +148,4 @@ def q_id_band(spark, sf_dir):
     idrows = s.filter(F.col("quality") == 1)
     band = fit_band(idrows, "similarity")
     n = idrows.agg(F.count(F.lit(1)).alias("n_id"))
-    return rounded(band.crossJoin(n))
+    return rounded(band.crossJoin(n))  # one row x one row
