@@ -94,7 +94,40 @@ def _bucketed(spark, sf_dir):
     return e.join(d, "vec_id")
 
 
-@register("euclidean_mst", operators=("CLU-2",))
+# Prim's algorithm as a recursive CTE: per bucket the state is the key and
+# parent arrays (O(n d) per step); with distinct distances the MST is unique,
+# so the edge sets must agree.
+_PRIM_SQL = """WITH RECURSIVE pts AS (
+  SELECT d.lang AS bucket, e.vec_id AS id, CAST(e.embedding AS DOUBLE[]) AS v
+  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+b AS (SELECT bucket, list(id ORDER BY id) AS ids, list(v ORDER BY id) AS vs, count(*) AS n
+      FROM pts GROUP BY bucket HAVING count(*) >= 2),
+prim(bucket, ids, vs, n, inq, kk, par, eu, ev, ed, step) AS (
+  SELECT bucket, ids, vs, n,
+    list_transform(ids, lambda x, i: i = 1),
+    list_transform(vs, lambda x, i: CASE WHEN i = 1 THEN CAST('Infinity' AS DOUBLE) ELSE
+      sqrt(list_sum(list_transform(list_zip(x, vs[1]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) END),
+    list_transform(ids, lambda x, i: 1),
+    CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), 0
+  FROM b
+  UNION ALL
+  SELECT bucket, ids, vs, n,
+    list_transform(inq, lambda q, i: q OR i = j),
+    list_transform(kk, lambda k, i: CASE WHEN inq[i] OR i = j THEN k ELSE least(k,
+      sqrt(list_sum(list_transform(list_zip(vs[i], vs[j]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) END),
+    list_transform(par, lambda q, i: CASE WHEN inq[i] OR i = j THEN q
+      WHEN sqrt(list_sum(list_transform(list_zip(vs[i], vs[j]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) < kk[i]
+      THEN j ELSE q END),
+    least(ids[j], ids[par[j]]), greatest(ids[j], ids[par[j]]), kk[j], step + 1
+  FROM (SELECT *, list_position(
+          list_transform(kk, lambda k, i: CASE WHEN inq[i] THEN CAST('Infinity' AS DOUBLE) ELSE k END),
+          list_min(list_transform(kk, lambda k, i: CASE WHEN inq[i] THEN CAST('Infinity' AS DOUBLE) ELSE k END))) AS j
+        FROM prim WHERE step < n - 1) p)
+SELECT bucket, eu AS u, ev AS v, CAST(round(ed, 6) AS DOUBLE) AS d FROM prim WHERE step > 0
+"""
+
+
+@register("euclidean_mst", operators=("CLU-2",), sql=_PRIM_SQL)
 def q_euclidean_mst(spark, sf_dir):
     """Per-bucket exact Euclidean MST (Boruvka on tile blocks)."""
     return rounded(D.euclidean_mst(_bucketed(spark, sf_dir), "vec_id", "embedding", "bucket"))
