@@ -175,7 +175,18 @@ def q_silhouette(spark, sf_dir):
     return rounded(M.silhouette(e, "vec_id", "label", "embedding"))
 
 
-@register("silhouette_fast", operators=("AGG-17",))
+@register("silhouette_fast", operators=("AGG-17",), sql=f"""
+WITH {_E},
+d AS (SELECT a.vec_id, a.label AS own, b.label AS other,
+             list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))
+               AS dist
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+m AS (SELECT vec_id, own, other, avg(dist) AS md FROM d GROUP BY ALL),
+s AS (SELECT vec_id, max(md) FILTER (WHERE other = own) AS a,
+             min(md) FILTER (WHERE other <> own) AS b FROM m GROUP BY vec_id)
+SELECT CAST(round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS DOUBLE)
+         AS "silhouette_squaredEuclidean"
+FROM s""")
 def q_silhouette_fast(spark, sf_dir):
     """Linear-time squared-Euclidean silhouette (ClusteringEvaluator)."""
     return rounded(M.silhouette_squared(embeddings(spark, sf_dir), "label", "embedding"))
