@@ -67,12 +67,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        # Unset: a local run or a test.  A cluster names a shared folder.
+        # A scratch folder serves a local run or a test only: on a cluster
+        # executors would write to their own disks.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package (once per context).
+
+    Python functions are pickled by reference, so a worker has to import
+    ``quarry``; an installed package or a PYTHONPATH serves too, but a plain
+    checkout on the driver does not.
+    """
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quarry-zip-")) / "quarry.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(target))
+    sc._quarry_shipped = True
+
+
 def materialize(df):
     """Cut lineage by writing the rows as a table in the session's shared
     checkpoint folder and reading them back (never ``localCheckpoint``:
