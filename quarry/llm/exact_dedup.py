@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACES, keep_rows, materialize, null_safe_join, text_or_empty
+from quarry.llm.common import SPACES, keep_rows, materialize, text_or_empty
 
 HOT_SHARE = 1024
 
@@ -43,11 +43,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _smallest(id_col: str) -> Column:
-    """Smallest id, null only if every id is null (min skips nulls)."""
-    return F.min(id_col)
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64,
                 digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, digest."""
@@ -56,12 +51,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("digest", digest(F.col("norm")))
     keys = materialize(rows.select("doc_id", "digest"))
     total = keys.count()
-    hot = (keys.groupBy("digest").count()
-           .where(F.col("count") > max(total // HOT_SHARE, salts)).select("digest", F.lit(True).alias("hot")))
+    hot = materialize(keys.groupBy("digest").count().where(F.col("count") > max(total // HOT_SHARE, salts))
+                      .select("digest", F.lit(True).alias("hot")))
     spread = rows.join(F.broadcast(hot), "digest", "left").withColumn(
         "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(F.lit(-1)))
     salted = (spread.groupBy("digest", "salt", "norm")
-              .agg(_smallest("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+              .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     is_hot = F.col("salt") >= 0
     # a group without salt is complete: its own marks keep it apart, not its text
     own = F.when(~is_hot, F.struct("first", F.xxhash64("norm").alias("h"), F.length("norm").alias("l")))
@@ -71,10 +66,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = materialize(groups)
     shared = groups.groupBy("digest").count().where(F.col("count") > 1).select("digest")
     if shared.isEmpty():
-        found = keys.join(groups, "digest")
+        # the rows of hot digests stay where they are: their groups are as few as their digests
+        mine = keys.join(F.broadcast(hot), "digest", "left")
+        found = (mine.where("hot").join(F.broadcast(groups.join(F.broadcast(hot), "digest")).drop("hot"), "digest")
+                 .unionByName(mine.where("hot is null").join(groups, "digest")).drop("hot"))
     else:
         clash = rows.join(shared, "digest", "left_semi")
-        apart = clash.groupBy("digest", "norm").agg(_smallest("doc_id").alias("keep_id"),
+        apart = clash.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"),
                                                     F.count(F.lit(1)).alias("group_size"))
         found = (keys.join(groups.join(shared, "digest", "left_anti"), "digest")
                  .withColumn("text_mark", F.lit(0).cast("long"))
@@ -93,4 +91,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return keep_rows(docs, kept, keys)
 
 
-__all__ = ["deduplicated", "exact_dedup", "normalise", "null_safe_join", "sha256"]
+__all__ = ["deduplicated", "exact_dedup", "normalise", "sha256"]

@@ -79,3 +79,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.mixing import mix
     return mix(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+@query("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.simhash import near_duplicates
+    found = near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.langid import identify
+    return identify(documents(spark, sf_dir))
