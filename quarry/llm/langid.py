@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held_out, map_batches, may_learn
+from quarry.llm.common import held_out, map_batches, materialize, may_learn
 
 SLOTS = 1 << 18
 HASHES = 3
 GRAMS = 12_000
 RIVAL = 4.0
 MAX_DOCS = 1500
-SIZES = (2, 3, 4)
+SIZES = (3, 4)
 _PIECE = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,7 +79,7 @@ def grams(text: str) -> np.ndarray:
 
 def slots(g: np.ndarray, k: int) -> np.ndarray:
     h = (g ^ np.uint64(k * 0x5851F42D)) * _MIX
-    return (h >> np.uint64(40)).astype(np.int64) % SLOTS
+    return (h >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
 
 
 @dataclass
@@ -93,11 +93,13 @@ class Filters:
         langs = sorted(members)
         if len(langs) > 64:
             raise ValueError("a mask has 64 bits")
-        masks = np.zeros((HASHES, SLOTS), np.uint64)
+        # the narrowest mask keeps the tables in the processor's cache
+        kind = next(t for n, t in ((8, np.uint8), (16, np.uint16), (64, np.uint64)) if len(langs) <= n)
+        masks = np.zeros((HASHES, SLOTS), kind)
         for bit, lang in enumerate(langs):
             for k in range(HASHES):
-                masks[k, slots(members[lang], k)] |= np.uint64(1 << bit)
-        chance = np.array([np.prod([((masks[k] >> np.uint64(b)) & np.uint64(1)).mean() for k in range(HASHES)])
+                masks[k, slots(members[lang], k)] |= kind(1 << bit)
+        chance = np.array([np.prod([(masks[k] & kind(1 << b) > 0).mean() for k in range(HASHES)])
                            for b in range(len(langs))])
         return cls(langs, masks, chance)
 
@@ -107,6 +109,14 @@ class Filters:
             found = found & self.masks[k][slots(g, k)]
         return found
 
+    def popcounts(self, found: np.ndarray) -> np.ndarray:
+        """How many n-grams name each language."""
+        bits = range(len(self.langs))
+        if found.dtype == np.uint8:
+            seen = np.bincount(found, minlength=256)
+            return np.array([seen[(np.arange(256) >> b) & 1 == 1].sum() for b in bits], float)
+        return np.array([np.count_nonzero(found & found.dtype.type(1 << b)) for b in bits], float)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return "und", 0.0
@@ -115,9 +125,7 @@ class Filters:
             g = grams(text[at: at + _PIECE])
             n += len(g)
             if len(g):
-                found = self.lookup(g)
-                for b in range(len(self.langs)):
-                    counts[b] += np.count_nonzero(found & np.uint64(1 << b))
+                counts += self.popcounts(self.lookup(g))
         if not n:
             return "und", 0.0
         likely = np.maximum(counts - n * self.chance, 0) / (1 - np.minimum(self.chance, 0.999))
@@ -173,8 +181,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rate = counts.join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("all"))
     top = rate.groupBy("gram").agg(F.max("rate").alias("top"),
                                    F.collect_list(F.struct("lang", "n", "rate")).alias("of"))  # a row per language at most
-    good = (top.select("gram", "top", F.explode("of").alias("o"))
-            .where(F.col("o.rate") * RIVAL >= F.col("top")).select(F.col("o.lang").alias("lang"), "gram", F.col("o.n").alias("n")))
+    good = materialize(top.select("gram", "top", F.explode("of").alias("o"))
+                       .where(F.col("o.rate") * RIVAL >= F.col("top"))
+                       .select(F.col("o.lang").alias("lang"), "gram", F.col("o.n").alias("n")))
     members: dict[str, np.ndarray] = {}
     for lang in sizes:  # at most 64 bounded lists
         rows = good.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(n_grams).select("gram").collect()
