@@ -92,3 +92,27 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.langid import identify
     return identify(documents(spark, sf_dir))
+
+
+@query("op1_url_filters")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.url_filter import filter_urls
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op3_secret_scans")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.secrets import scan, summary
+    return summary(scan(documents(spark, sf_dir)))
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.token_counts import token_counts
+    return token_counts(documents(spark, sf_dir))
+
+
+@query("op8_spotsigs")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.spotsigs import compare
+    return compare(documents(spark, sf_dir))
