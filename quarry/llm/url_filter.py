@@ -4,13 +4,12 @@ A rule is (action, host/path): it fits its host and every subdomain, for urls
 whose path starts with the rule's path; the longest fitting rule decides.  Urls
 without a rule get the verdict of their host's link neighbourhood:
 
-* seeds: hosts whose ruled pages are mostly allowed are trusted, those whose
-  ruled pages are mostly blocked are distrusted;
+* seeds: hosts with more than half of their pages allowed by rules are
+  trusted, those with more than half blocked are distrusted;
 * trust: personalised PageRank from the trusted seeds along the links;
 * distrust: the same walk from the blocked seeds against the links, as who
   links to blocked hosts shares their distrust;
-* a host is blocked if its distrust is above ``least`` times the number of
-  seeds' share and above its trust.
+* a host is blocked if its distrust is above ``least`` and above its trust.
 
 A host edge is an absolute or scheme-relative link in a page of one host to
 another host, weighted by its pages; a host gives its score to its neighbours
@@ -107,9 +106,10 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     parsed = pages.select(F.col(id_col).alias("page_id"), host_of(rest).alias("host"), path_of(rest).alias("path"))
     rule, action = judge(F.col("host"), F.col("path"), rules)
     judged = parsed.withColumns({"rule": rule, "action": action})
-    votes = (judged.where("action is not null").groupBy("host")
-             .agg(F.sum(F.when(F.col("action") == "allow", 1).otherwise(-1)).alias("v")).where("v <> 0")
-             .select("host", F.when(F.col("v") > 0, "trust").otherwise("distrust").alias("kind")))
+    half = F.count(F.lit(1)) / 2
+    votes = (judged.where("host <> ''").groupBy("host").agg(
+        F.when(F.count_if(F.col("action") == "allow") > half, "trust")
+        .when(F.count_if(F.col("action") == "block") > half, "distrust").alias("kind")).where("kind is not null"))
     votes = materialize(votes)
     share = votes.groupBy("kind").agg((F.lit(1.0) / F.count(F.lit(1))).alias("seed"))
     seeds = votes.join(F.broadcast(share), "kind")  # two rows
