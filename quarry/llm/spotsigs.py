@@ -49,7 +49,9 @@ def signatures(text: Column) -> Column:
     marked = F.regexp_replace(plain, rf"(?<=[ {MARK}])(?:{words}) ", MARK)
     chains = F.regexp_extract_all(marked, F.lit(rf"{MARK}(?={MARK}*([^ {MARK}]+ {MARK}*[^ {MARK}]+))"), F.lit(1))
     found = F.array_distinct(F.transform(chains, lambda c: F.crc32(F.translate(c, MARK, "").cast("binary"))))
-    return F.when(F.size(found) > 0, F.array_sort(found)).otherwise(F.array(F.crc32(text.cast("binary"))))
+    own = F.array(F.crc32(text.cast("binary")))
+    # the lambda names the found set, so that it is worked out once
+    return F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, F.array_sort(f)).otherwise(own))[0]
 
 
 def as_text(sigs: Column) -> Column:
