@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import strip
+
 # The reference defaults.
 DEFAULT_WEIGHTS = {"margin": 0.33, "bleu": 0.12, "rouge": 0.23, "similarity": 0.33}
 DEFAULT_MAX_MARGIN = 5.0
@@ -63,7 +65,7 @@ def score_anomaly(df: DataFrame, band: DataFrame | None = None, weights=None,
     """
     out = df
     if gold is not None:
-        blank = F.col(gold).isNull() | (F.trim(F.col(gold)) == "")
+        blank = F.col(gold).isNull() | (strip(gold) == "")
         for c in (bleu, rouge, similarity):
             out = out.withColumn(c, F.when(blank, F.lit(1.0)).otherwise(F.col(c)))
     s = raw_score(F.col(margin), F.col(bleu), F.col(rouge), F.col(similarity),

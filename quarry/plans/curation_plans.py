@@ -219,9 +219,14 @@ def q_stream_snapshots(spark, sf_dir):
 
 
 def _array_files(it):
+    """One JSON array per partition, over however many batches it comes in."""
+    lead = "["
     for pdf in it:
         if len(pdf):
-            yield pd.DataFrame({"value": ["[" + ",\n".join(pdf["j"].tolist()) + "]"]})
+            yield pd.DataFrame({"value": [lead + ",\n".join(pdf["j"].tolist())]})
+            lead = ","
+    if lead == ",":
+        yield pd.DataFrame({"value": ["]"]})
 
 
 @register("multiline_json", operators=("SRC-2",), sql="""
