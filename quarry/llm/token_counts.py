@@ -21,7 +21,6 @@ text is cut only where a token ends.
 from __future__ import annotations
 
 import re
-import struct
 from functools import lru_cache
 
 import numpy as np
@@ -30,66 +29,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import map_batches
-from quarry.llm.packing import _OTHER_SPACE, Encoder, tokenizer_path
+from quarry.llm.packing import Encoder, tokenizer_path
 
 LINE = r"\n"
 RULES = ("most", "first", "last")
 
 
 class Spans(Encoder):
-    """Token spans of a text: each different space-led word is worked out once
-    (its spans are relative to the space) and kept up to a bound."""
+    """Token spans of a text, from the byte widths of its tokens."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.widths: dict[int, int] = {}
-
-    def width(self, token: int) -> int:
-        """Bytes of a token."""
-        if token not in self.widths:
-            self.widths[token] = len(self.encoding.decode_single_token_bytes(token))
-        return self.widths[token]
-
-    def whole_spans(self, text: str) -> np.ndarray:
-        """(n, 2) first character, last character + 1 of each token."""
-        data = text.encode("utf-8", "replace")
-        ids = self.encoding.encode_ordinary(text)
-        ends = np.cumsum([self.width(i) for i in ids], dtype=np.int64)
-        if len(data) == len(text):
-            return np.column_stack((np.concatenate(([0], ends[:-1])), ends)) if ids else np.zeros((0, 2), np.int64)
-        lead = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
-        char = np.cumsum(lead) - 1  # of each byte
-        starts = np.concatenate(([0], ends[:-1]))
-        return np.column_stack((char[starts], char[ends - 1] + 1)) if ids else np.zeros((0, 2), np.int64)
-
-    def __missing__(self, word: str) -> bytes:
-        """The word's spans as packed pairs, which join without a copy each."""
-        got = self.older.get(word)
-        if got is None:
-            if word.isascii():
-                at, flat = 0, []
-                for i in self.encoding.encode_ordinary(" " + word):
-                    flat += (at, at := at + self.width(i))
-                got = struct.pack(f"<{len(flat)}q", *flat)
-            else:
-                got = self.whole_spans(" " + word).astype("<i8").tobytes()
-        if len(self) >= 100_000:
-            self.older = dict(self)
-            self.clear()
-        self[word] = got
-        return got
+        self.widths = np.zeros(self.encoding.n_vocab, np.int64)
+        for token in self.encoding.token_byte_values():
+            self.widths[self.encoding.encode_single_token(token)] = len(token)
 
     def spans(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros((0, 2), np.int64)
-        if _OTHER_SPACE.search(text):
-            return self.whole_spans(text)
-        first, *rest = text.split(" ")
-        parts = [self.whole_spans(first).astype("<i8").tobytes(), *map(self.__getitem__, rest)]
-        n = np.fromiter(map(len, parts), np.int64, len(parts)) // 16
-        size = np.fromiter(map(len, rest), np.int64, len(rest)) + 1
-        at = np.concatenate(([0], len(first) + np.concatenate(([0], np.cumsum(size[:-1]))))) if rest else np.zeros(1, np.int64)
-        return np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2) + np.repeat(at, n)[:, None]
+        """(n, 2) first character, last character + 1 of each token."""
+        ends = np.cumsum(self.widths[np.frombuffer(self.ids(text), "<u4")])
+        starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        if not text.isascii():
+            lead = (np.frombuffer(text.encode("utf-8", "replace"), np.uint8) & 0xC0) != 0x80
+            char = np.cumsum(lead) - 1  # of each byte
+            starts, ends = char[starts], char[ends - 1] + 1
+        return np.column_stack((starts, ends))
 
 
 @lru_cache(maxsize=2)
