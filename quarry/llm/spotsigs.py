@@ -40,22 +40,28 @@ COMMON = ("the of and to a in is that for on with as was at by are be this it fr
           "el los las y se del su no lo con una por").split()
 MARK = "\u0001"
 SIMILAR = 0.8
+#: Signatures are kept four bytes wide, as crc32 less this.
+MIDDLE = 1 << 31
+
+
+def _number(text: Column) -> Column:
+    return (F.crc32(text.cast("binary")) - F.lit(MIDDLE)).cast("int")
 
 
 def signatures(text: Column) -> Column:
-    """Sorted array<bigint> of a text's signatures; never empty."""
+    """Sorted array<int> of a text's signatures; never empty."""
     plain = F.concat(F.lit(MARK), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     words = "|".join(sorted(set(COMMON), key=lambda w: (-len(w), w)))
     marked = F.regexp_replace(plain, rf"(?<=[ {MARK}])(?:{words}) ", MARK)
     chains = F.regexp_extract_all(marked, F.lit(rf"{MARK}(?={MARK}*([^ {MARK}]+ {MARK}*[^ {MARK}]+))"), F.lit(1))
-    found = F.array_distinct(F.transform(chains, lambda c: F.crc32(F.translate(c, MARK, "").cast("binary"))))
-    own = F.array(F.crc32(text.cast("binary")))
+    found = F.array_distinct(F.transform(chains, lambda c: _number(F.translate(c, MARK, ""))))
+    own = F.array(_number(text))
     # the lambda names the found set, so that it is worked out once
     return F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, F.array_sort(f)).otherwise(own))[0]
 
 
 def as_text(sigs: Column) -> Column:
-    return F.array_join(F.transform(sigs, lambda s: F.lower(F.lpad(F.hex(s), 8, "0"))), "")
+    return F.array_join(F.transform(sigs, lambda s: F.lower(F.lpad(F.hex(s.cast("long") + F.lit(MIDDLE)), 8, "0"))), "")
 
 
 def pruned_jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
