@@ -133,11 +133,15 @@ def contains_ci(haystack, needle) -> Column:
 
 
 def first_truthy(*cols) -> Column:
-    """FN-19: first value that is not null, not '' and not 0 (as a string)."""
+    """FN-19: first value, as a string, that is not absent; a column's type says
+    what is: null, the empty string, false, a zero of any numeric type.  The
+    string "0" and NaN are present."""
     parts = []
     for c in cols:
-        s = _c(c).cast("string")
-        parts.append(F.when(s.isNotNull() & (s != "") & (s != "0"), s))
+        s, kind = _c(c).cast("string"), F.typeof(_c(c))
+        present = (F.when(kind == "string", s != "").when(kind == "boolean", s != "false")
+                   .otherwise(F.coalesce(s.try_cast("double") != 0, F.lit(True))))
+        parts.append(F.when(s.isNotNull() & present, s))
     return F.coalesce(*parts)
 
 

@@ -14,27 +14,40 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.vectors import cosine
+from quarry.operators.centroids import centroids
 from quarry.operators.indexing import dense_index
 from quarry.operators.quantiles import exact_quantiles
 
 
 def sample_pairs(df: DataFrame, id_col: str, vec: str, max_pairs: int = 1000,
                  seed: int = 42) -> DataFrame:
-    """JOIN-12: up to ``max_pairs`` distinct pairs i < j drawn by index
-    (draw k: i = h(seed:k:a) mod n, j = h(seed:k:b) mod n), never listing
-    all pairs; returns (i, j, cos).  The sample size is the feature."""
+    """JOIN-12: exactly min(``max_pairs``, n(n-1)/2) distinct pairs i < j,
+    never listing all pairs; returns (i, j, cos).  The pair numbers
+    0..n(n-1)/2-1 (pair (i, j) has number j(j-1)/2 + i) are cut into that many
+    even strata and a seeded hash draws one number in each, so no draw repeats
+    another.  The sample size is the feature."""
     spark = df.sparkSession
     e = dense_index(df.select(id_col, vec), id_col, "_i")
     n = e.agg(F.count(F.lit(1)).alias("n"))  # one row
 
-    def h(tag):
-        s = F.concat(F.lit(f"{seed}:"), F.col("k").cast("string"), F.lit(f":{tag}"))
-        return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long")
-
-    draws = (spark.range(max_pairs).withColumnRenamed("id", "k").crossJoin(F.broadcast(n))  # n: one row
-             .select(F.pmod(h("a"), F.col("n")).alias("x"), F.pmod(h("b"), F.col("n")).alias("y"))
-             .filter(F.col("x") != F.col("y"))
-             .select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct())
+    def below(j):  # pairs whose larger index is below j
+        return F.expr(f"({j} * ({j} - 1)) div 2")
+
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("k").cast("string"))), 1, 15),
+               16, 10).cast("long")
+    total = n.select(F.expr("n * (n - 1) div 2").alias("pairs")) \
+             .withColumn("m", F.least("pairs", F.lit(max_pairs)).cast("long"))
+    strata = (spark.range(max_pairs).withColumnRenamed("id", "k")
+              .join(F.broadcast(total), F.col("k") < F.col("m"))  # one row
+              .select("k", F.expr("pairs div greatest(m, 1)").alias("width"),
+                      F.expr("pairs % greatest(m, 1)").alias("rest")))
+    start = F.col("k") * F.col("width") + F.least("k", "rest")
+    size = F.col("width") + F.when(F.col("k") < F.col("rest"), 1).otherwise(0)
+    p = strata.select((start + F.pmod(h, F.greatest(size, F.lit(1)))).alias("p"))
+    root = F.floor((1 + F.sqrt(1 + 8.0 * F.col("p"))) / 2)  # off by one at most for large numbers
+    p = p.withColumn("r", root.cast("long")).withColumn("s", F.col("r") + 1)
+    j = F.when(below("r") > F.col("p"), F.col("r") - 1).when(below("s") <= F.col("p"), F.col("s")).otherwise(F.col("r"))
+    draws = p.withColumn("j", j).select((F.col("p") - below("j")).alias("i"), "j")
     a = e.select(F.col("_i").alias("i"), F.col(vec).alias("va"))
     b = e.select(F.col("_i").alias("j"), F.col(vec).alias("vb"))
     return draws.join(a, "i").join(b, "j").select("i", "j", cosine("va", "vb").alias("cos"))
@@ -69,6 +82,19 @@ def check_integrity(members: DataFrame, clusters: DataFrame, by: str = "bucket",
                     F.coalesce("clusters", F.lit(0)).alias("clusters")))
 
 
+def buffer_occupancy(members: DataFrame, by: str = "bucket", cluster_id: str = "cluster_id") -> DataFrame:
+    """AGG-30: per bucket, the rows that wait in the buffer (cluster id -1 or
+    null) and the rows that a cluster has."""
+    waits = F.coalesce(F.col(cluster_id) == -1, F.lit(True))
+    return members.groupBy(by).agg(F.count_if(waits).alias("buffered"), F.count_if(~waits).alias("assigned"))
+
+
+def pool_chunks(chunks: DataFrame, by, vec: str = "embedding") -> DataFrame:
+    """FN-23: one vector per sample, the mean of its chunks' vectors, and the
+    number of chunks.  Partial sums meet in one exchange."""
+    return centroids(chunks, by, vec, out=vec, count="n_chunks")
+
+
 def count_windows(df: DataFrame, order, size: int = 200, out: str = "window") -> DataFrame:
     """WIN-10: tumbling count windows of ``size`` rows in ``order``
     (distributed position, no global window)."""

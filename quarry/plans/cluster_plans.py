@@ -348,11 +348,13 @@ def q_window_drift(spark, sf_dir):
 WITH e AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS i,
                   CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 n AS (SELECT count(*) AS n FROM e),
-dr AS (SELECT k,
-         CAST('0x' || substr(md5('42:' || CAST(k AS VARCHAR) || ':a'), 1, 15) AS BIGINT) % n AS x,
-         CAST('0x' || substr(md5('42:' || CAST(k AS VARCHAR) || ':b'), 1, 15) AS BIGINT) % n AS y
-       FROM range(0, 1000) t(k), n),
-p AS (SELECT DISTINCT least(x, y) AS i, greatest(x, y) AS j FROM dr WHERE x <> y),
+tot AS (SELECT n * (n - 1) // 2 AS pairs, least(1000, n * (n - 1) // 2) AS m FROM n),
+st AS (SELECT k, k * (pairs // m) + least(k, pairs % m) AS lo,
+              (k + 1) * (pairs // m) + least(k + 1, pairs % m) AS hi
+       FROM range(0, 1000) t(k), tot WHERE k < m),
+dr AS (SELECT lo + CAST('0x' || substr(md5('42:' || CAST(k AS VARCHAR)), 1, 15) AS BIGINT) % (hi - lo) AS num FROM st),
+p AS (SELECT num - e.i * (e.i - 1) // 2 AS i, e.i AS j FROM dr JOIN e
+      ON num >= e.i * (e.i - 1) // 2 AND num < e.i * (e.i + 1) // 2),
 c AS (SELECT CASE WHEN sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) > 0
                   THEN list_dot_product(a.v, b.v)
                        / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))
@@ -367,7 +369,7 @@ def q_auto_threshold(spark, sf_dir):
     return rounded(auto_threshold(embeddings(spark, sf_dir), "vec_id", "embedding"))
 
 
-@register("cluster_integrity", operators=("AGG-28", "JOIN-13", "AGG-30"), sql=BASE + """
+@register("cluster_integrity", operators=("AGG-28", "JOIN-13"), sql=BASE + """
 , cl AS (SELECT DISTINCT bucket, pred AS cluster_id FROM mem WHERE pred <> 0)
 SELECT m.bucket, count(*) AS members,
        count(*) FILTER (WHERE cl.cluster_id IS NULL) AS orphan_members,
@@ -383,6 +385,35 @@ def q_cluster_integrity(spark, sf_dir):
     return check_integrity(m, cl)
 
 
+@register("buffer_occupancy", operators=("AGG-30",), sql=BASE + """
+SELECT bucket, count(*) FILTER (WHERE pred = 0) AS buffered, count(*) FILTER (WHERE pred <> 0) AS assigned
+FROM mem GROUP BY bucket""")
+def q_buffer_occupancy(spark, sf_dir):
+    """Members of cluster 0 stand for rows that no cluster has yet."""
+    from quarry.operators.buffer_ops import buffer_occupancy
+    m = ncc_members(spark, sf_dir)
+    return buffer_occupancy(m.select("bucket", F.when(F.col("pred") == 0, -1).otherwise(F.col("pred")).alias("cluster_id")))
+
+
+@register("pool_chunks", operators=("FN-23",), sql="""
+WITH v AS (SELECT vec_id // 4 AS sample_id, unnest(CAST(embedding AS DOUBLE[])) AS x,
+                  generate_subscripts(embedding, 1) AS d FROM embeddings),
+m AS (SELECT sample_id, d, avg(x) AS x, count(*) AS n_chunks FROM v GROUP BY sample_id, d)
+SELECT sample_id, any_value(n_chunks) AS n_chunks,
+       CAST(round(sum(x * d), 6) AS DOUBLE) AS weighted, CAST(round(sum(x * x), 6) AS DOUBLE) AS sq_norm
+FROM m GROUP BY sample_id""")
+def q_pool_chunks(spark, sf_dir):
+    """Four neighbouring vectors stand for the chunks of one sample; the
+    pooled vector is compared by two sums over its components."""
+    from quarry.operators.buffer_ops import pool_chunks
+    e = embeddings(spark, sf_dir).withColumn("sample_id", F.expr("vec_id div 4"))
+    p = pool_chunks(e, "sample_id")
+    return rounded(p.select(
+        "sample_id", "n_chunks",
+        F.expr("aggregate(transform(embedding, (x, i) -> x * (i + 1)), 0D, (a, x) -> a + x)").alias("weighted"),
+        F.expr("aggregate(embedding, 0D, (a, x) -> a + x * x)").alias("sq_norm")))
+
+
 @register("snapshot", operators=("SNK-4", "PRJ-13", "JOIN-14"), sql="""
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
                   row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings),

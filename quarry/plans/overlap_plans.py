@@ -1,7 +1,7 @@
 """M3: overlap scores and answer metrics.
 
 Pairs: ``conversations`` user turn (gold) followed by the assistant turn
-(prediction), keyed by ``conv_id * 1000 + turn``.
+(prediction), keyed by ``conv_id:turn``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from quarry.plans.text_plans import PAIRS_SQL, conversation_pairs, q_decision_ex
 
 def scored_pairs(spark, sf_dir, metrics, stem=False):
     p = conversation_pairs(spark, sf_dir).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"),
+        F.concat_ws(":", "conv_id", "turn").alias("pair_id"),
         F.col("completion").alias("pred"), F.col("prompt").alias("gold"))
     return score_pairs(p, "pair_id", "pred", "gold", metrics, stem=stem)
 
@@ -25,7 +25,7 @@ def scored_pairs(spark, sf_dir, metrics, stem=False):
 # n-gram clipped counts in SQL: tokens, grams by lateral unnest, counts.
 _GRAMS_SQL = "WITH " + PAIRS_SQL + """,
 tok AS (
-  SELECT conv_id * 1000 + turn AS pair_id,
+  SELECT conv_id || ':' || turn AS pair_id,
          list_filter(string_split_regex(completion, '\\s+'), lambda x: x <> '') AS h,
          list_filter(string_split_regex(prompt, '\\s+'), lambda x: x <> '') AS r,
          list_filter(string_split(regexp_replace(lower(completion), '[^a-z0-9]+', ' ', 'g'), ' '),

@@ -198,9 +198,7 @@ def q_nearest_number(spark, sf_dir):
 
 @register("first_truthy", operators=("FN-19",), sql="""
 SELECT d.doc_id,
-  coalesce(CASE WHEN CAST(l.quality AS VARCHAR) NOT IN ('', '0') THEN CAST(l.quality AS VARCHAR) END,
-           CASE WHEN CAST(l.toxic AS VARCHAR) NOT IN ('', '0') THEN CAST(l.toxic AS VARCHAR) END,
-           CASE WHEN d.lang NOT IN ('', '0') THEN d.lang END) AS answer
+  coalesce(CAST(nullif(l.quality, 0) AS VARCHAR), CAST(nullif(l.toxic, 0) AS VARCHAR), nullif(d.lang, '')) AS answer
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def q_first_truthy(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -209,7 +207,7 @@ def q_first_truthy(spark, sf_dir):
     return j.select("doc_id", T.first_truthy("quality", "toxic", "lang").alias("answer"))
 
 
-@register("chunk_text", operators=("FN-22", "FN-23"), sql="""
+@register("chunk_text", operators=("FN-22",), sql="""
 WITH c AS (
   SELECT doc_id, text,
          unnest(range(0, CAST(greatest(ceil(length(text) / 5000.0), 1) AS BIGINT))) AS pos

@@ -47,7 +47,11 @@ def test_gold_number(spark):
 
 
 def test_first_truthy(spark):
-    assert one(spark, T.first_truthy("a", "b", "c"), a="", b="0", c="x") == "x"
+    assert one(spark, T.first_truthy("a", "b", "c"), a="", b="x", c="y") == "x"
+    assert one(spark, T.first_truthy("a", "b"), a="0", b="x") == "0"  # a string that is not empty
+    assert one(spark, T.first_truthy("a", "b", "c"), a=0.0, b=False, c="x") == "x"
+    assert one(spark, T.first_truthy("a", "b", "c"), a=0, b=True, c="x") == "true"
+    assert one(spark, T.first_truthy("a", "b"), a=0, b="") is None
 
 
 def test_chunks(spark):

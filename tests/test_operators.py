@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import cluster_metrics as M
@@ -182,3 +183,26 @@ def test_running_total_null_groups(spark):
     df = spark.createDataFrame([(None, 1, 1), (None, 2, 2), ("a", 1, 5)], "g string, o long, v long")
     got = {(r["g"], r["o"]): r["cum_v"] for r in running_total(df, ["o"], ["v"], by="g").collect()}
     assert got == {(None, 1): 1, (None, 2): 3, ("a", 1): 5}
+
+
+@pytest.mark.parametrize("n, due", [(0, 0), (1, 0), (2, 1), (10, 45), (100, 1000)])
+def test_sample_pairs_reaches_its_count(spark, n, due):
+    from quarry.operators.buffer_ops import sample_pairs
+    df = spark.range(n).selectExpr("id AS vec_id", "array(1.0D, double(id)) AS embedding")
+    got = [(r.i, r.j) for r in sample_pairs(df, "vec_id", "embedding").collect()]
+    assert len(got) == len(set(got)) == due
+    assert all(0 <= i < j < n for i, j in got)
+
+
+def test_buffer_occupancy_counts_null_ids(spark):
+    from quarry.operators.buffer_ops import buffer_occupancy
+    df = spark.createDataFrame([("a", -1), ("a", None), ("a", 0), (None, 2)], "bucket string, cluster_id int")
+    got = {r.bucket: (r.buffered, r.assigned) for r in buffer_occupancy(df).collect()}
+    assert got == {"a": (2, 1), None: (0, 1)}
+
+
+def test_pool_chunks_is_the_mean(spark):
+    from quarry.operators.buffer_ops import pool_chunks
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 6.0]), (2, [5.0, 5.0])], "s int, embedding array<double>")
+    got = {r.s: (list(r.embedding), r.n_chunks) for r in pool_chunks(df, "s").collect()}
+    assert got == {1: ([2.0, 4.0], 2), 2: ([5.0, 5.0], 1)}
