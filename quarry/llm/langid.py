@@ -16,8 +16,9 @@ often, if no language has them more than ``RIVAL`` times as often.  At most
 languages x GRAMS rows reach the driver, and the filter has a fixed size.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-so is every text when nothing can be learned, or no n-gram is known.  Ties go
-to the language that sorts first.  Up to 64 languages (an error beyond).
+so is every text when nothing can be learned.  A text without a known n-gram
+gets the language that most documents have, with score 0.  Ties go to the
+language that sorts first.  Up to 64 languages (an error beyond).
 Repeated rows get equal results.  Other columns are not read.
 """
 
@@ -87,9 +88,11 @@ class Filters:
     langs: list[str]
     masks: np.ndarray
     chance: np.ndarray
+    common: str = "und"
 
     @classmethod
     def build(cls, members: dict[str, np.ndarray]) -> "Filters":
+        """``members``: the n-grams of each language, the most common language first."""
         langs = sorted(members)
         if len(langs) > 64:
             raise ValueError("a mask has 64 bits")
@@ -101,7 +104,7 @@ class Filters:
                 masks[k, slots(members[lang], k)] |= kind(1 << bit)
         chance = np.array([np.prod([(masks[k] & kind(1 << b) > 0).mean() for k in range(HASHES)])
                            for b in range(len(langs))])
-        return cls(langs, masks, chance)
+        return cls(langs, masks, chance, next(iter(members)))
 
     def lookup(self, g: np.ndarray) -> np.ndarray:
         found = self.masks[0][slots(g, 0)]
@@ -130,7 +133,7 @@ class Filters:
             return "und", 0.0
         likely = np.maximum(counts - n * self.chance, 0) / (1 - np.minimum(self.chance, 0.999))
         if not likely.any():
-            return (self.langs[int(counts.argmax())], 0.0) if counts.any() else ("und", 0.0)
+            return self.langs[int(counts.argmax())] if counts.any() else self.common, 0.0
         best = int(likely.argmax())
         return self.langs[best], float(likely[best] / likely.sum())
 
