@@ -24,7 +24,10 @@ the links it found (fewer edges than the blocks have rows), which connects the
 same documents as all of them.  No link between components is lost.
 
 Components grow by label propagation with pointer jumping over the linked
-fingerprints, a table in the checkpoint folder per round.
+fingerprints, a table in the checkpoint folder per round.  Documents join
+their fingerprint's component by exchange, but for the fingerprints that hold
+more than one in ``HOT_SHARE`` of the rows: there are fewer than ``HOT_SHARE``
+of them at every input size, so they are broadcast and their rows stay put.
 
 Defined cases: a null or empty text has no word and fingerprint zero, which
 links like any other.  A null id never names a component that has an id.
@@ -50,6 +53,7 @@ SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 BLOCK = 512
+HOT_SHARE = 1024
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code (fixed value).
 GOLAY = 0b101011100011
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -221,18 +225,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id: the smallest id reachable over links."""
     marked = materialize(fingerprints(docs, id_col, text_col, words))
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
     edges = materialize(links(nodes, max_bits))
     linked = edges.select(F.col("src").alias("fp")).unionByName(edges.select(F.col("dst").alias("fp"))).distinct()
     if edges.isEmpty():
-        named = nodes.select("fp", F.col("first").alias("component_id"))
+        named = nodes.select("fp", "rows", F.col("first").alias("component_id"))
     else:
         group = components(linked, edges, node="fp")
         # a component's fingerprints may be many: the smallest id by a partial aggregate, joined back
         first = group.join(nodes, "fp").groupBy("comp").agg(F.min("first").alias("component_id"))
         of = group.join(first, "comp").select("fp", F.col("component_id").alias("c"))
-        named = nodes.join(of, "fp", "left").select("fp", F.coalesce("c", "first").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+        named = materialize(nodes.join(of, "fp", "left").select("fp", "rows", F.coalesce("c", "first").alias("component_id")))
+    hot = F.col("rows") > marked.count() // HOT_SHARE
+    few, rest = named.where(hot).drop("rows"), named.where(~hot).drop("rows")
+    found = marked.join(F.broadcast(few), "fp").unionByName(
+        marked.join(F.broadcast(few.select("fp")), "fp", "left_anti").join(rest, "fp"))
+    return found.select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -103,6 +103,17 @@ def test_links_of_a_crowded_key_connect_the_same(spark, block):
     assert {v: root(v) for v in ids} == want
 
 
+@pytest.mark.parametrize("share", [1, 4, 1024])
+def test_simhash_with_a_hot_fingerprint(spark, monkeypatch, share):
+    monkeypatch.setattr(simhash, "HOT_SHARE", share)
+    rnd = random.Random(9)
+    rows = [(i, "the very same words in every copy" if i % 3 == 0 else " ".join(rnd.choices("abcdefghij", k=3 + i % 2)))
+            for i in range(400)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(_docs(spark, rows)).collect()}
+    ids = [d for d, _ in rows]
+    assert got == brute.components(ids, [brute.simhash(t) for _, t in rows])
+
+
 @pytest.mark.parametrize("schema", [SCHEMA, CLASH])
 def test_simhash_stage(spark, schema):
     docs = _docs(spark, ODD, schema)
@@ -229,12 +240,15 @@ def test_token_spans_and_the_crossing_rule(spark):
 def test_language_edges(spark):
     rows = [(i, ("the cat and the dog of this house " if i % 2 else "der hund und die katze aus dem haus ") * 5, "en" if i % 2 else "de")
             for i in range(10, 90)]
-    docs = _docs(spark, ODD + rows)
+    strange = [(100, "\u4e16\u754c", None), (101, "\u4e16 " * 40, "en")]
+    docs = _docs(spark, ODD + rows + strange)
     got = langid.identify(docs).collect()
-    assert len(got) == len(ODD) + len(rows)
+    assert len(got) == len(ODD) + len(rows) + len(strange)
     by = {r.doc_id: r for r in got}
     assert all(by[d].lang_pred == "und" and by[d].score == 0 for d in (1, 2, 3, 8))
     assert all(by[i].lang_pred == lang for i, _, lang in rows)
+    # letters, but no known n-gram: a learned language, without confidence
+    assert by[100].lang_pred in ("en", "de") and by[100].score == 0
     assert langid.identify(docs.where("false")).count() == 0
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
