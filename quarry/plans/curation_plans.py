@@ -120,25 +120,27 @@ def q_metric_normalise(spark, sf_dir):
                                                     "consistent"))
 
 
+ATTEMPTS = 3
+
+
 def _attempt_centres(spark, sf_dir):
-    """Attempts = growing prefixes (100, 200, 300 rows in vec_id order) of
-    each language bucket; labels = nearest label centroid."""
+    """Attempts = growing prefixes of each language bucket in vec_id order (a
+    third, two thirds, all of it); labels = nearest label centroid."""
     from quarry.plans.cluster_plans import ncc_members
     m = ncc_members(spark, sf_dir)
-    r = SM.group_rank(m, "bucket", ["vec_id"], "pos")
-    att = spark.range(3).select(F.col("id").cast("int").alias("attempt"))
-    rows = r.join(F.broadcast(att), F.col("pos") <= (F.col("attempt") + 1) * 100)  # 3 attempts
-    return rows
+    r = SM.group_rank(m, "bucket", ["vec_id"], "pos", count_out="cnt")
+    first = F.ceil(F.col("pos") * ATTEMPTS / F.col("cnt")).cast("int") - 1  # the first attempt to hold the row
+    return r.withColumn("attempt", F.explode(F.sequence(first, F.lit(ATTEMPTS - 1)))).drop("cnt")
 
 
 def _attempt_sql() -> str:
     from quarry.plans.cluster_plans import BASE, _agreement_sql_by, _cos
     return BASE + """,
-r AS (SELECT bucket, pred, v, row_number() OVER (PARTITION BY bucket ORDER BY vec_id) AS pos
-      FROM mem),
+r AS (SELECT bucket, pred, v, row_number() OVER (PARTITION BY bucket ORDER BY vec_id) AS pos,
+             count(*) OVER (PARTITION BY bucket) AS cnt FROM mem),
 att AS (SELECT unnest([0, 1, 2]) AS attempt),
 rws AS (SELECT r.*, CAST(att.attempt AS INTEGER) AS attempt FROM r
-        JOIN att ON r.pos <= (att.attempt + 1) * 100),
+        JOIN att ON r.pos * 3 <= r.cnt * (att.attempt + 1)),
 al AS (SELECT c.bucket || ':' || CAST(c.attempt AS VARCHAR) AS ga, p.pred AS prev, c.pred AS cur
        FROM rws c JOIN rws p ON p.bucket = c.bucket AND p.attempt = c.attempt - 1
                             AND p.pos = c.pos),""" + _agreement_sql_by("al", "prev", "cur", "ga") + """,

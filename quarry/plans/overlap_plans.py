@@ -197,15 +197,21 @@ def q_numeric_metrics(spark, sf_dir):
     return rounded(numeric_metrics(x, "gold", "pred", by="run_id"))
 
 
-@register("containment", operators=("AGG-27", "FN-17"), sql="WITH " + PAIRS_SQL + """
-SELECT CAST(round(avg(CASE WHEN contains(lower(completion), lower(split_part(trim(prompt), ' ', 1)))
+@register("containment", operators=("AGG-27", "FN-17"), sql="WITH " + PAIRS_SQL + """,
+x AS (SELECT 'conversations' AS origin, prompt AS gold, completion AS pred FROM pairs
+      UNION ALL SELECT 'documents', lang, text FROM documents)
+SELECT origin, CAST(round(avg(CASE WHEN contains(lower(pred), lower(gold))
                        THEN 1.0 ELSE 0.0 END) * 100.0, 6) AS DOUBLE) AS containment_accuracy,
        count(*) AS n
-FROM pairs""")
+FROM x GROUP BY origin""")
 def q_containment(spark, sf_dir):
-    p = conversation_pairs(spark, sf_dir).withColumn(
-        "gold", F.split(F.trim("prompt"), " ")[0])
-    return rounded(containment_accuracy(p, "gold", "completion"))
+    """The whole gold text in the whole prediction, per origin."""
+    from quarry.sources.tables import table
+    pairs = conversation_pairs(spark, sf_dir).select(
+        F.lit("conversations").alias("origin"), F.col("prompt").alias("gold"), F.col("completion").alias("pred"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.lit("documents").alias("origin"), F.col("lang").alias("gold"), F.col("text").alias("pred"))
+    return rounded(containment_accuracy(pairs.unionByName(docs), "gold", "pred", by="origin"))
 
 
 def _fill_numeric_sql():

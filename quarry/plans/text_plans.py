@@ -106,16 +106,17 @@ def q_format_prompt(spark, sf_dir):
 
 @register("union_sources", operators=("SET-1", "PRJ-2", "SRC-3"),
           sql="WITH " + QA_SQL + "," + PAIRS_SQL + f"""
-SELECT 'documents' AS origin, sample_id, text, full_prompt, source, label, real_answer FROM fmt
+SELECT 'documents' AS origin, CAST(sample_id AS VARCHAR) AS sample_id, text, full_prompt, source, label, real_answer FROM fmt
 UNION ALL
-SELECT 'conversations' AS origin, conv_id * 1000 + turn AS sample_id,
+SELECT 'conversations' AS origin, conv_id || ':' || turn AS sample_id,
        '[Question]' || {NL} || prompt AS text, '[Answer]' || {NL} || completion AS full_prompt,
        'gsm8k' AS source, 1 AS label, CAST(conv_id AS VARCHAR) AS real_answer
 FROM pairs""")
 def q_union_sources(spark, sf_dir):
-    docs = formatted_documents(spark, sf_dir).withColumn("origin", F.lit("documents"))
+    docs = formatted_documents(spark, sf_dir).withColumns({
+        "origin": F.lit("documents"), "sample_id": F.col("sample_id").cast("string")})
     pairs = conversation_pairs(spark, sf_dir).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), "prompt", "completion",
+        F.concat_ws(":", "conv_id", "turn").alias("sample_id"), "prompt", "completion",
         F.col("conv_id").cast("string").alias("label"))
     js = S.format_json_samples(pairs).withColumn("origin", F.lit("conversations"))
     return S.union_samples(docs, js).select("origin", "sample_id", "text", "full_prompt",
