@@ -81,41 +81,43 @@ def score_anomaly(df: DataFrame, band: DataFrame | None = None, weights=None,
     return out
 
 
-def ema_frame_rows(alpha: float = DEFAULT_EMA_ALPHA, tol: float = 1e-12) -> int:
-    """Rows of history an EMA needs before older weights fall under ``tol``:
-    the smallest k with (1 - alpha)^k < tol."""
-    return int(math.ceil(math.log(tol) / math.log(1.0 - alpha)))
-
-
 def ema(df: DataFrame, value: str, order, by=None, alpha: float = DEFAULT_EMA_ALPHA,
-        out: str = "ema_score", tol: float = 1e-12, chunk_rows: int = 100_000) -> DataFrame:
+        out: str = "ema_score", chunk_rows: int = 100_000) -> DataFrame:
     """WIN-1: e_t = (1 - a) e_{t-1} + a x_t with e_0 = 0, per key in ``order``.
 
-    e_t = sum_j a (1-a)^j x_{t-j}; terms older than k rows weigh under
-    ``tol`` (k = 263 for a = 0.1, tol = 1e-12), so each row needs only its
-    k - 1 predecessors.  That makes the scan parallel inside a key: rows get
-    their exact rank within the key (distributed ``group_rank``), the key's
-    sequence is cut into chunks of ``chunk_rows``, and each chunk also
-    receives the last k - 1 rows of the chunk before it (a halo).  A bounded
-    window frame over (key, chunk) then folds the history with
-    ``aggregate``; halo rows are dropped.  A key with a third of all rows
-    spreads over many tasks.  ``order`` must be unique within a key.
+    A scan over chunks.  Rows get their exact rank within the key (distributed
+    ``group_rank``) and the key's sequence is cut into chunks.  Inside a chunk
+    the EMA that starts from 0 is a running sum of a x_j (1-a)^(i-j), with the
+    powers taken from the chunk's start; a chunk is so short that they stay
+    within 100 orders of magnitude.  What a chunk leaves behind obeys
+    the same recurrence with the decay d = (1-a)^chunk, so the chunks' ends
+    (one row each) go through this function again, and a row adds its carry
+    times (1-a)^(i+1).  The decay shrinks with every level, which ends the
+    levels.  Work is linear and a key with a third of all rows spreads over
+    many tasks.  ``order`` must be unique within a key; a null value counts
+    as 0.
     """
+    from quarry.operators.indexing import join_null_safe
     from quarry.operators.sampling import group_rank
+    from quarry.session import materialize
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
     order = [order] if isinstance(order, str) else list(order)
-    k = ema_frame_rows(alpha, tol)
-    if chunk_rows < k:
-        raise ValueError("chunk_rows must be at least the EMA history length")
-    r = group_rank(df, keys, order, "_rk")
-    chunk = F.floor((F.col("_rk") - 1) / chunk_rows).cast("long")
-    own = r.withColumn("_chunk", chunk).withColumn("_halo", F.lit(False))
-    tail = (F.col("_rk") - 1) % chunk_rows >= chunk_rows - (k - 1)
-    halo = (r.filter(tail).withColumn("_chunk", chunk + 1).withColumn("_halo", F.lit(True)))
-    both = own.unionByName(halo)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_rk").rowsBetween(-(k - 1), 0)
-    hist = F.collect_list(F.col(value).cast("double")).over(w)
-    a = F.lit(float(alpha))
-    fold = F.aggregate(hist, F.lit(0.0), lambda e, x: (F.lit(1.0) - a) * e + a * x)
-    return (both.withColumn(out, fold).filter(~F.col("_halo"))
-            .drop("_rk", "_chunk", "_halo"))
+    x = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    keep = 1.0 - float(alpha)
+    if keep <= 0.0:  # no memory
+        return df.withColumn(out, x)
+    m = max(1, min(chunk_rows, int(100 / -math.log10(keep))))
+    at = F.col("_rk") - 1
+    r = group_rank(df, keys, order, "_rk").withColumns({
+        "_chunk": F.floor(at / m).cast("long"), "_i": at % m})
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_rk").rowsBetween(Window.unboundedPreceding, 0)
+    power = F.pow(F.lit(keep), F.col("_i"))
+    local = r.withColumn("_local", power * F.sum(x * float(alpha) / power).over(w))
+    d = keep ** m
+    ends = (local.where(F.col("_i") == m - 1)
+            .select(*keys, F.col("_chunk").alias("_nth"), (F.col("_local") / (1.0 - d)).alias("_end")))
+    ends = ema(materialize(ends), "_end", "_nth", keys, 1.0 - d, "_left", chunk_rows)
+    carries = ends.select(*keys, (F.col("_nth") + 1).alias("_chunk"), F.col("_left").alias("_carry"))
+    joined = join_null_safe(local, carries, [*keys, "_chunk"], "left")
+    e = F.col("_local") + F.coalesce("_carry", F.lit(0.0)) * power * keep
+    return joined.withColumn(out, e).drop("_rk", "_chunk", "_i", "_local", "_carry")

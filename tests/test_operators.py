@@ -50,6 +50,18 @@ def test_ema_chunked_equals_sequential(spark):
             assert abs(got[(k, t)] - e) < 1e-9
 
 
+@pytest.mark.parametrize("alpha", [1e-3, 0.9, 1.0])
+def test_ema_of_any_memory(spark, alpha):
+    rnd = random.Random(6)
+    rows = [(k, t, rnd.uniform(-5, 5)) for k, n in (("a", 400), (None, 3)) for t in range(n)]
+    df = spark.createDataFrame(rows, "k string, t long, x double")
+    got = {(r["k"], r["t"]): r["e"] for r in ema(df, "x", "t", by="k", alpha=alpha, out="e", chunk_rows=60).collect()}
+    last = {}
+    for k, t, x in rows:
+        last[k] = (1 - alpha) * last.get(k, 0.0) + alpha * x
+        assert abs(got[(k, t)] - last[k]) < 1e-9
+
+
 def test_ari_relabel(spark):
     rows = [(i, i % 3, (i % 3) + 10) for i in range(30)]
     df = spark.createDataFrame(rows, ["id", "t", "p"])
