@@ -9,7 +9,9 @@ without a rule get the verdict of their host's link neighbourhood:
 * trust: personalised PageRank from the trusted seeds along the links;
 * distrust: the same walk from the blocked seeds against the links, as who
   links to blocked hosts shares their distrust;
-* a host is blocked if its distrust is above ``least`` and above its trust.
+* a host is blocked if its distrust is above ``least`` and above its trust, both
+  counted in seeds: times the number of seeds of their kind, as the seeds share a
+  mass of 1 and one seed's part of it shrinks with their number.
 
 A host edge is an absolute or scheme-relative link in a page of one host to
 another host, weighted by its pages; a host gives its score to its neighbours
@@ -19,8 +21,9 @@ the remaining change shrinks by the damping factor each round.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path
 and fits no rule; an empty host is allowed.  Null html has no links.  Repeated
-pages are judged each.  Without links only seeds carry a score.  DataFrame
-functions only.  Other columns are not read.
+pages are judged each.  Without links only seeds carry a score, the one a seed
+keeps that no link leads to.  DataFrame functions only.  Other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -89,8 +92,10 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
     out = walk.groupBy("kind", "host").agg(F.sum("w").alias("all"))
     walk = materialize(walk.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("w") / F.col("all")).alias("p")))
     score = seeds.select("kind", "host", F.col("seed").alias("score"))
-    if not walk.isEmpty():
-        base = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
+    base = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
+    if walk.isEmpty():
+        score = base  # what the rounds leave to a host that gets nothing back
+    else:
         for _ in range(rounds):
             given = (score.join(walk, ["kind", "host"]).groupBy("kind", F.col("to").alias("host"))
                      .agg((F.sum(F.col("score") * F.col("p")) * damping).alias("score")))
@@ -114,7 +119,10 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     share = votes.groupBy("kind").agg((F.lit(1.0) / F.count(F.lit(1))).alias("seed"))
     seeds = votes.join(F.broadcast(share), "kind")  # two rows
     scores = spread(materialize(host_edges(pages, url_col, html_col)), seeds, **walk)
-    scores = scores.withColumn("bad", (F.col("distrust") > least) & (F.col("distrust") > F.col("trust")))
+    n = votes.agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("trust", "distrust")])
+    scores = scores.crossJoin(F.broadcast(n))  # one row
+    distrust = F.col("distrust") * F.col("n_distrust")
+    scores = scores.withColumn("bad", (distrust > least) & (distrust > F.col("trust") * F.col("n_trust")))
     out = judged.join(scores, "host", "left")
     verdict = F.coalesce("action", F.when(F.col("bad"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"),

@@ -186,6 +186,24 @@ def test_urls_over_a_link_graph(spark):
     assert url_filter.filter_urls(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("linked", [False, True])
+def test_urls_of_many_blocked_hosts(spark, linked):
+    n, shills = 2000, 50
+    pages = [(3 * i + k, f"http://bad{i}.com/{p}", None) for i in range(n) for k, p in enumerate(("de/1", "de/2", "free"))]
+    pages += [(10000, "http://good.org/a", '<a href="http://bad0.com/free">x</a>' if linked else None)]
+    if linked:
+        pages += [(20000 + i, f"http://shill{i}.net/", f'<a href="http://bad{i + 1}.com/free">x</a>') for i in range(shills)]
+        pages += [(30000, "http://one.net/", '<a href="http://two.net/">x</a>'), (30001, "http://two.net/", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.filter_urls(df, rounds=4).collect()}
+    assert {got[i].verdict for i in range(3 * n)} == {"block"}
+    # a seed that no other host links to scores alike with and without links elsewhere
+    assert got[3 * n - 1].distrust == pytest.approx((1 - url_filter.DAMPING) / n)
+    assert got[10000].verdict == "allow"
+    assert {got[20000 + i].verdict for i in range(shills if linked else 0)} <= {"block"}
+    assert {got[i].verdict for i in (30000, 30001) if linked} <= {"allow"}
+
+
 def test_spotsigs_edges(spark):
     docs = _docs(spark, ODD)
     got = spotsigs.compare(docs).collect()
