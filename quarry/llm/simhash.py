@@ -43,10 +43,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import keep_rows, map_batches, materialize
+from quarry.llm.common import keep_rows, map_batches, materialize, text_or_empty
+from quarry.llm.exact_dedup import sha256
 from quarry.operators.graph import components
 
 SHINGLE = 3
@@ -83,15 +84,19 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 words: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+                 words: int = SHINGLE, **carried: Column) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long) and the carried
+    string columns."""
+    names = ["doc_id", "fp", *carried]
+
     def run(it):
         for b in it:
             got = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64)), *b.columns[2:]], names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       *[c.alias(k) for k, c in carried.items()])
+    return map_batches(rows, run, ", ".join(["doc_id long", "fp long", *[f"{k} string" for k in carried]]))
 
 
 @lru_cache(maxsize=1)
@@ -221,17 +226,25 @@ def _crowded_links(keyed: DataFrame, crowded: DataFrame, max_bits: int, block: i
     return met.groupBy("key", "i", "j").applyInArrow(compare, "src long, dst long")
 
 
+def linked(nodes: DataFrame, max_bits: int) -> DataFrame | None:
+    """fp, comp of the fingerprints that have a link; comp is one of the
+    component's fingerprints.  None if there is no link."""
+    edges = materialize(links(nodes, max_bits))
+    if edges.isEmpty():
+        return None
+    ends = edges.select(F.col("src").alias("fp")).unionByName(edges.select(F.col("dst").alias("fp"))).distinct()
+    return components(ends, edges, node="fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id: the smallest id reachable over links."""
     marked = materialize(fingerprints(docs, id_col, text_col, words))
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
-    edges = materialize(links(nodes, max_bits))
-    linked = edges.select(F.col("src").alias("fp")).unionByName(edges.select(F.col("dst").alias("fp"))).distinct()
-    if edges.isEmpty():
+    group = linked(nodes, max_bits)
+    if group is None:
         named = nodes.select("fp", "rows", F.col("first").alias("component_id"))
     else:
-        group = components(linked, edges, node="fp")
         # a component's fingerprints may be many: the smallest id by a partial aggregate, joined back
         first = group.join(nodes, "fp").groupBy("comp").agg(F.min("first").alias("component_id"))
         of = group.join(first, "comp").select("fp", F.col("component_id").alias("c"))
@@ -243,12 +256,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that name their component, with all their columns; of
-    rows that share the id one stays."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return keep_rows(docs, kept, {"doc_id": F.col(id_col)})
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE,
+                max_bits: int = MAX_BITS) -> DataFrame:
+    """One document of each component, with all its columns: that of the
+    smallest id (null last), then of the smallest text digest.  Components are
+    those of the fingerprints, so unrelated texts that share an id, or have
+    none, all stay."""
+    digest = sha256(text_or_empty(text_col))
+    marked = materialize(fingerprints(docs, id_col, text_col, words, digest=digest))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    nodes = materialize(marked.groupBy("fp").agg(first.alias("first")))
+    group = linked(nodes, max_bits)
+    if group is not None:
+        nodes = (nodes.join(group, "fp", "left").groupBy(F.coalesce("comp", "fp").alias("comp"))
+                 .agg(F.min("first").alias("first")))
+    return keep_rows(docs, nodes.select("first.doc_id", "first.digest"), {"doc_id": F.col(id_col), "digest": digest})
 
 
 __all__ = ["fingerprint", "fingerprints", "links", "near_duplicates", "one_of_each"]
