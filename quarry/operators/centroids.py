@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import cosine, dot, norm, unit
+from quarry.operators.indexing import join_null_safe
 
 
 def _keys(by) -> list[str]:
@@ -131,8 +132,10 @@ def assign_nearest(samples: DataFrame, clusters: DataFrame, by: str = "bucket",
     per (sample, cluster), so no keyword set is intersected in one row and
     cluster keyword sets can be any size (``cluster_words`` is the long
     table ``(by, cluster_id, word)``; otherwise ``cluster_kw`` arrays are
-    exploded).  Returns (id, bucket, assigned_cluster, match_score); with
-    ``threshold`` the cluster is null when the best score is below it.
+    exploded).  Returns (id, bucket, assigned_cluster, match_score) for every
+    sample: cluster and score are null where the sample has no bucket or its
+    bucket no cluster; with ``threshold`` the cluster is also null when the
+    best score is below it.
     """
     c = clusters.select(F.col(by), F.col(cluster_id).alias("_cid"),
                         F.col(cluster_vec).alias("_cv"), norm(cluster_vec).alias("_cn"))
@@ -161,7 +164,7 @@ def assign_nearest(samples: DataFrame, clusters: DataFrame, by: str = "bucket",
         best = best.withColumn(
             "assigned_cluster",
             F.when(F.col("match_score") >= threshold, F.col("assigned_cluster")))
-    return best
+    return join_null_safe(samples.select(id_col, by).distinct(), best, [id_col, by], "left")
 
 
 def assign_to_centroids(df: DataFrame, cents: DataFrame, vec: str = "embedding",

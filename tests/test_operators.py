@@ -218,3 +218,18 @@ def test_pool_chunks_is_the_mean(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 6.0]), (2, [5.0, 5.0])], "s int, embedding array<double>")
     got = {r.s: (list(r.embedding), r.n_chunks) for r in pool_chunks(df, "s").collect()}
     assert got == {1: ([2.0, 4.0], 2), 2: ([5.0, 5.0], 1)}
+
+
+def test_assign_nearest_returns_every_sample(spark):
+    from quarry.operators.centroids import assign_nearest
+    s = spark.createDataFrame(
+        [(1, "a", [1.0, 0.0], ["x"]), (2, None, [1.0, 0.0], ["x"]), (3, "lone", [0.0, 1.0], []),
+         (4, "a", [0.0, 1.0], None)],
+        "sample_id long, bucket string, embedding array<double>, keywords array<string>")
+    c = spark.createDataFrame(
+        [("a", 7, [1.0, 0.0], ["x"]), ("a", 8, [0.0, 1.0], ["y"]), (None, 9, [1.0, 0.0], ["x"])],
+        "bucket string, cluster_id long, centroid array<double>, keywords array<string>")
+    got = {r.sample_id: (r.bucket, r.assigned_cluster, r.match_score) for r in assign_nearest(s, c).collect()}
+    assert got[2] == (None, None, None) and got[3] == ("lone", None, None)
+    assert got[1][:2] == ("a", 7) and got[1][2] == 1.0
+    assert got[4][:2] == ("a", 8) and abs(got[4][2] - 0.7) < 1e-12 and len(got) == 4
