@@ -113,6 +113,29 @@ def q_stream_trigger(spark, sf_dir):
     return rounded(out)
 
 
+@register("stream_trigger_full", operators=("STR-2", "STR-1", "FN-9", "JOIN-11"))
+def q_stream_trigger_full(spark, sf_dir):
+    """``trigger_full`` online: vectors stream in, the pairs with their overlap
+    scores are a static side, and a pair is scored when the vector of its
+    conversation arrives."""
+    comp = trigger_plans.sample_components(spark, sf_dir)
+    band = fit_band(comp, "similarity", where=F.col("quality") == 1).collect()[0]  # one row
+    cents = centroids(embeddings(spark, sf_dir), "label")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("conv_id"), structure_tag("source").alias("bucket"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"), "quality", "toxic")
+    s = table_stream(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("conv_id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    s = (s.join(cents.select("label", "centroid"), "label")
+         .select("conv_id", logit_margin("v").alias("margin"), cosine("v", "centroid").alias("similarity"))
+         .join(docs, "conv_id").join(labels, "conv_id", "left")
+         .join(trigger_plans.pair_scores(spark, sf_dir), "conv_id"))
+    band_df = spark.range(1).select(F.lit(band["band_lo"]).cast("double").alias("band_lo"),
+                                    F.lit(band["band_hi"]).cast("double").alias("band_hi"))
+    scored = score_anomaly(s, band_df, weights=SLICE_WEIGHTS, max_margin=SLICE_MAX_MARGIN,
+                           threshold=SLICE_THRESHOLD, gold="gold")
+    return rounded(run_available_now(scored.select(*trigger_plans.FULL_COLUMNS), name="stream-trigger-full"))
+
 
 def triggered_stream(spark, sf_dir):
     """Samples that fire the trigger, as a stream: vectors stream in, the

@@ -32,3 +32,34 @@ def test_overlap_scans_each_side_once(spark):
 def test_caps_use_window_group_limit(spark):
     p = _plan(spark, "cap_per_label")
     assert "WindowGroupLimit" in p
+
+
+def test_trigger_full_scores_the_texts(spark):
+    import re
+
+    from quarry.functions.porter import stem
+    from quarry.operators.overlap import _lcs_len, python_bleu
+    from quarry.plans import load_all
+    from quarry.plans.registry import REGISTRY
+    from quarry.plans.text_plans import conversation_pairs
+    from tests.conftest import SF_SMALL
+    load_all()
+    got = {r.pair_id: r for r in REGISTRY["trigger_full"].build(spark, SF_SMALL).collect()}
+    streamed = {r.pair_id: r for r in REGISTRY["stream_trigger_full"].build(spark, SF_SMALL).collect()}
+    pairs = {f"{r.conv_id}:{r.turn}": r for r in conversation_pairs(spark, SF_SMALL).collect()}
+
+    def tokens(t):
+        return [stem(x) if len(x) > 3 else x for x in re.findall("[a-z0-9]+", t.lower())]
+
+    assert set(got) == set(pairs) and streamed == {k: r for k, r in got.items() if r.margin is not None}
+    for k, p in pairs.items():
+        a, b = tokens(p.completion), tokens(p.prompt)
+        n = _lcs_len(a, b)
+        want = 2 * n / (len(a) + len(b)) if n else 0.0
+        assert abs(got[k].bleu - python_bleu(p.completion, p.prompt)) < 2e-6
+        assert abs(got[k].rouge - want) < 2e-6
+    live = [r for r in got.values() if r.margin is not None]
+    assert live and any(r.rouge < 1 and r.trigger for r in live)
+    for r in live:
+        score = 0.33 * (1 - r.margin / 0.25) + 0.12 * (1 - r.bleu) + 0.23 * (1 - r.rouge) + 0.33 * (1 - r.similarity)
+        assert min(abs(r.anomaly_score - score), abs(r.anomaly_score - score / 2)) < 1e-5
