@@ -161,3 +161,43 @@ FROM s WHERE score > 0 QUALIFY rank <= 10"""
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.lexical_search import lexical_search
     return lexical_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def _license_sql() -> str:
+    """The same voting over strings: words, grams, diagonals, merged spans."""
+    from quarry.llm.licenses import GRAM, LEAST, NOTICES, PHRASES, SLACK, WORDS
+    rows = ", ".join("({}, '{}', '{}', {})".format(i, label, text.lower().replace("'", "''"), base) for i, (label, text, base) in
+                     enumerate([(*p, True) for p in PHRASES] + [(*n, False) for n in NOTICES]))
+    return rf"""
+WITH t AS (SELECT id, label, base, regexp_extract_all(text, '{WORDS}') AS w FROM (VALUES {rows}) AS v(id, label, text, base)),
+tk AS (SELECT *, len(w) AS len, CASE WHEN base THEN len(w) ELSE least(len(w), {GRAM}) END AS k FROM t),
+tg AS (SELECT id, label, base, len, k, pos, array_to_string(w[pos + 1 : pos + k], ' ') AS gram
+       FROM (SELECT *, unnest(range(len - k + 1)) AS pos FROM tk)),
+d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w FROM documents),
+dw AS (SELECT uid, w, unnest(range(len(w))) AS place FROM d),
+dg AS (SELECT uid, place, k, array_to_string(w[place + 1 : place + k], ' ') AS gram
+       FROM dw, (SELECT DISTINCT k FROM tk) WHERE place + k <= len(w)),
+h AS (SELECT uid, place, id, label, base, len, tg.k, pos, place - pos AS diagonal FROM dg JOIN tg ON dg.k = tg.k AND dg.gram = tg.gram),
+b AS (SELECT uid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+             list_sort(list(DISTINCT label)) AS own FROM h WHERE base GROUP BY uid),
+dia AS (SELECT uid, id, diagonal, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY uid, id ORDER BY diagonal) > {SLACK} THEN 1 ELSE 0 END AS far
+        FROM (SELECT DISTINCT uid, id, diagonal FROM h WHERE NOT base)),
+sp AS (SELECT *, sum(far) OVER (PARTITION BY uid, id ORDER BY diagonal) AS span FROM dia),
+v AS (SELECT h.uid, h.id, sp.span, label, len, min(place) AS first, max(place + k) AS last,
+             len(list_distinct(flatten(list(range(pos, pos + k))))) AS in_template,
+             len(list_distinct(flatten(list(range(place, place + k))))) AS in_text
+      FROM h JOIN sp USING (uid, id, diagonal) WHERE NOT base GROUP BY ALL),
+g AS (SELECT uid, list(DISTINCT label) AS more, max(in_template / len) AS share FROM v
+      WHERE in_template >= {LEAST} * len AND in_text >= {LEAST} * (last - first) GROUP BY uid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(array_to_string(own, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ','), '') AS labels,
+       greatest(coalesce(share, 0), CASE WHEN n_base > 0 THEN 1 ELSE 0 END)::DOUBLE AS score
+FROM d LEFT JOIN b USING (uid) LEFT JOIN g USING (uid)"""
+
+
+@query("op13_license_scans", _license_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.licenses import scan_licenses
+    return scan_licenses(documents(spark, sf_dir))
