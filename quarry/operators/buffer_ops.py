@@ -89,6 +89,16 @@ def buffer_occupancy(members: DataFrame, by: str = "bucket", cluster_id: str = "
     return members.groupBy(by).agg(F.count_if(waits).alias("buffered"), F.count_if(~waits).alias("assigned"))
 
 
+def drop_noise(members: DataFrame, cluster_id: str = "cluster") -> DataFrame:
+    """FLT-6: the rows that a cluster has (null and negative ids are noise)."""
+    return members.where(F.col(cluster_id) >= 0)
+
+
+def size_gate(clusters: DataFrame, least: int, size: str = "num_samples") -> DataFrame:
+    """FLT-7: the clusters with at least ``least`` samples."""
+    return clusters.where(F.col(size) >= least)
+
+
 def pool_chunks(chunks: DataFrame, by, vec: str = "embedding") -> DataFrame:
     """FN-23: one vector per sample, the mean of its chunks' vectors, and the
     number of chunks.  Partial sums meet in one exchange."""

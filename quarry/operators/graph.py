@@ -34,7 +34,7 @@ def _keys(by) -> list[str]:
 
 def tile_pairs(df: DataFrame, id_col: str, vec: str, by=None, tile_size: int = 2048,
                extra: list[str] | None = None) -> DataFrame:
-    """Packed tile pairs: (by..., s_tile, t_tile, a_id, a_v, [a_<extra>], b_id, b_v, ...)."""
+    """Packed tile pairs: (by..., _tiles, s_tile, t_tile, a_id, a_v, [a_<extra>], b_id, b_v, ...)."""
     keys = _keys(by)
     extra = extra or []
     base = df.select(*keys, F.col(id_col).cast("long").alias("id"),
@@ -48,7 +48,7 @@ def tile_pairs(df: DataFrame, id_col: str, vec: str, by=None, tile_size: int = 2
     packed = t.groupBy(*keys, "tile", "_tiles").agg(
         F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"),
         *[F.collect_list(c).alias(f"x_{c}") for c in extra])
-    pairs = packed.select(*keys, F.col("tile").alias("s_tile"),
+    pairs = packed.select(*keys, "_tiles", F.col("tile").alias("s_tile"),
                           F.explode(F.sequence(F.col("tile"), F.col("_tiles") - 1)).alias("t_tile"))
     a = packed.select(*keys, F.col("tile").alias("s_tile"), F.col("ids").alias("a_id"),
                       F.col("vs").alias("a_v"), *[F.col(f"x_{c}").alias(f"a_{c}") for c in extra])

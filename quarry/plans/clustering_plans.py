@@ -133,8 +133,79 @@ def q_euclidean_mst(spark, sf_dir):
     return rounded(D.euclidean_mst(_bucketed(spark, sf_dir), "vec_id", "embedding", "bucket"))
 
 
-@register("density_cluster", operators=("CLU-2", "CLU-8", "CLU-9", "UDX-3", "FLT-6"))
+# Kruskal over the same edges, one edge a step: the state is the tree node that
+# every point lies in.  The condensed tree, stabilities, the excess-of-mass sums
+# (children before parents) and the labels (parents first) are recursions too.
+_DENSITY_SQL = _PRIM_SQL[:_PRIM_SQL.rindex("SELECT bucket, eu AS u")].rstrip() + """,
+e AS MATERIALIZED (SELECT bucket, eu AS u, ev AS v, ed AS d, row_number() OVER (PARTITION BY bucket ORDER BY ed, eu, ev) AS r
+      FROM prim WHERE step > 0 AND n >= 25),
+kr(bucket, ids, comp, r, lft, rgt, nl, nr, d) AS (
+  SELECT bucket, ids, list_transform(ids, lambda x, i: -i::BIGINT), 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::DOUBLE
+  FROM b WHERE n >= 25
+  UNION ALL
+  SELECT bucket, ids, list_transform(comp, lambda x: CASE WHEN x = a OR x = c THEN nxt ELSE x END), nxt, a, c,
+         len(list_filter(comp, lambda x: x = a))::BIGINT, len(list_filter(comp, lambda x: x = c))::BIGINT, ed
+  FROM (SELECT kr.bucket, kr.ids, kr.comp, e.r AS nxt, e.d AS ed,
+               kr.comp[list_position(kr.ids, e.u)] AS a, kr.comp[list_position(kr.ids, e.v)] AS c
+        FROM kr JOIN e ON e.bucket IS NOT DISTINCT FROM kr.bucket AND e.r = kr.r + 1) s),
+node AS MATERIALIZED (SELECT bucket, r, lft, rgt, nl, nr, 1 / d AS lam, nl >= 2 AND nr >= 2 AS split FROM kr WHERE r > 0),
+child AS MATERIALIZED (SELECT bucket, r AS p, split, lam, unnest([lft, rgt]) AS c FROM node),
+cl(bucket, r, cl) AS (
+  SELECT bucket, max(r), max(r) FROM node GROUP BY bucket
+  UNION ALL
+  SELECT ch.bucket, ch.c, CASE WHEN ch.split THEN ch.c ELSE cl.cl END
+  FROM cl JOIN child ch ON ch.bucket IS NOT DISTINCT FROM cl.bucket AND ch.p = cl.r AND ch.c > 0),
+top AS MATERIALIZED (SELECT bucket, max(r) AS c, 0::DOUBLE AS birth, NULL::BIGINT AS parent FROM node GROUP BY bucket
+        UNION ALL
+        SELECT ch.bucket, ch.c, ch.lam, cl.cl FROM child ch JOIN cl ON cl.bucket IS NOT DISTINCT FROM ch.bucket AND cl.r = ch.p
+        WHERE ch.split),
+stab AS MATERIALIZED (SELECT top.bucket, top.c, top.parent,
+                sum((n.lam - top.birth) * CASE WHEN n.split THEN n.nl + n.nr ELSE
+                    (CASE WHEN n.nl < 2 THEN n.nl ELSE 0 END) + (CASE WHEN n.nr < 2 THEN n.nr ELSE 0 END) END) AS st
+         FROM top JOIN cl ON cl.bucket IS NOT DISTINCT FROM top.bucket AND cl.cl = top.c
+              JOIN node n ON n.bucket IS NOT DISTINCT FROM top.bucket AND n.r = cl.r
+         GROUP BY top.bucket, top.c, top.parent),
+lists AS MATERIALIZED (SELECT bucket, list(c ORDER BY c) AS cs, list(coalesce(parent, 0) ORDER BY c) AS ps, list(st ORDER BY c) AS ss FROM stab GROUP BY bucket),
+eom(bucket, cs, ps, ss, best, own, i) AS (
+  SELECT bucket, cs, ps, ss, []::DOUBLE[], []::BOOLEAN[], 1 FROM lists
+  UNION ALL
+  SELECT bucket, cs, ps, ss, list_append(best, greatest(ss[i], sub)), list_append(own, NOT sub > ss[i]), i + 1
+  FROM (SELECT *, coalesce(list_sum(list_transform(range(1, i), lambda j: CASE WHEN ps[j] = cs[i] THEN best[j] ELSE 0 END)), 0) AS sub
+        FROM eom WHERE i <= len(cs)) s),
+owned AS MATERIALIZED (SELECT bucket, unnest(cs) AS c, unnest(ps) AS parent, unnest(own) AS own FROM eom WHERE i = len(cs) + 1),
+lab(bucket, c, lab) AS (
+  SELECT bucket, c, 0::BIGINT FROM owned WHERE parent = 0
+  UNION ALL
+  SELECT o.bucket, o.c, CASE WHEN lab.lab > 0 THEN lab.lab WHEN o.own THEN o.c ELSE 0 END
+  FROM lab JOIN owned o ON o.bucket IS NOT DISTINCT FROM lab.bucket AND o.parent = lab.c),
+pt AS MATERIALIZED (SELECT ch.bucket, b.ids[-ch.c] AS id, lab.lab
+       FROM child ch JOIN cl ON cl.bucket IS NOT DISTINCT FROM ch.bucket AND cl.r = ch.p
+            JOIN lab ON lab.bucket IS NOT DISTINCT FROM ch.bucket AND lab.c = cl.cl
+            JOIN b ON b.bucket IS NOT DISTINCT FROM ch.bucket
+       WHERE ch.c < 0),
+num AS MATERIALIZED (SELECT bucket, lab, row_number() OVER (PARTITION BY bucket ORDER BY min(id)) - 1 AS no, count(*) OVER (PARTITION BY bucket) AS k
+        FROM pt WHERE lab > 0 GROUP BY bucket, lab)
+SELECT pt.bucket, pt.id AS vec_id, coalesce(num.no, -1)::BIGINT AS cluster
+FROM pt LEFT JOIN num ON num.bucket IS NOT DISTINCT FROM pt.bucket AND num.lab = pt.lab
+WHERE EXISTS (SELECT 1 FROM num x WHERE x.bucket IS NOT DISTINCT FROM pt.bucket AND x.k > 1)"""
+
+
+@register("density_cluster", operators=("CLU-2", "CLU-8", "CLU-9", "UDX-3"), sql=_DENSITY_SQL)
 def q_density_cluster(spark, sf_dir):
     """Density clusters (min cluster size 2, min samples 1) in every bucket
     of at least 25 rows; -1 = noise."""
     return D.density_cluster(_bucketed(spark, sf_dir), "vec_id", "embedding", "bucket")
+
+
+@register("density_members", operators=("FLT-6", "FLT-7"), sql=_DENSITY_SQL.replace(
+    "SELECT pt.bucket, pt.id AS vec_id, coalesce(num.no, -1)::BIGINT AS cluster",
+    ", out AS (SELECT pt.bucket, pt.id AS vec_id, coalesce(num.no, -1)::BIGINT AS cluster") + """)
+SELECT bucket, cluster, count(*) AS num_samples, min(vec_id) AS first_id, max(vec_id) AS last_id
+FROM out WHERE cluster >= 0 GROUP BY bucket, cluster HAVING count(*) >= 3""")
+def q_density_members(spark, sf_dir):
+    """Clusters of at least three members, noise dropped."""
+    from quarry.operators.buffer_ops import drop_noise, size_gate
+    members = drop_noise(q_density_cluster(spark, sf_dir))
+    clusters = members.groupBy("bucket", "cluster").agg(F.count(F.lit(1)).alias("num_samples"),
+                                                        F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))
+    return size_gate(clusters, 3)
