@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.metrics import class_report, containment_accuracy, numeric_metrics
 from quarry.operators.overlap import score_pairs
+from quarry.plans import trigger_plans
 from quarry.plans.registry import register, rounded
 from quarry.plans.text_plans import PAIRS_SQL, conversation_pairs, q_decision_extract, \
     q_numeric_answer
@@ -98,13 +99,62 @@ def q_rouge1(spark, sf_dir):
     return rounded(scored_pairs(spark, sf_dir, ("rouge1",)).select("pair_id", "rouge1"))
 
 
-# ROUGE-L needs an LCS per pair on whole texts: no SQL oracle (tests compare
-# it with a dynamic-programming brute force).
-@register("rougel", operators=("FN-7", "UDX-1"))
+# LCS in SQL (Hunt and Szymanski): t[k] is the smallest place in the reference at
+# which a common subsequence of k tokens can end.  One step takes the next token
+# of the prediction, whose places in the reference are p: t[k] becomes the
+# smallest place of p after the old t[k - 1], if that is smaller.
+_ROUGEL_SQL = _GRAMS_SQL + """,
+walk(pair_id, rh, rr, i, t) AS (
+  SELECT pair_id, rh, rr, 0, []::BIGINT[] FROM tok
+  UNION ALL
+  SELECT pair_id, rh, rr, i + 1, list_filter(list_transform(range(1, len(t) + 2), lambda k: least(t[k],
+           list_min(list_filter(p, lambda q: q > coalesce(t[k - 1], 0))))), lambda x: x IS NOT NULL)
+  FROM (SELECT *, list_filter(range(1, len(rr) + 1), lambda j: rr[j] = rh[i + 1]) AS p FROM walk WHERE i < len(rh)) w),
+lcs AS (SELECT pair_id, len(rh) AS hn, len(rr) AS rn, len(t) AS n FROM walk WHERE i = len(rh)),
+rl AS (SELECT pair_id, CASE WHEN hn = 0 OR rn = 0 OR n = 0 THEN 0.0 ELSE
+         2 * (n / hn::DOUBLE) * (n / rn::DOUBLE) / ((n / hn::DOUBLE) + (n / rn::DOUBLE)) END AS rougel FROM lcs)"""
+_ROUGEL_SQL = _ROUGEL_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("rougel", operators=("FN-7", "UDX-1"), sql=_ROUGEL_SQL + """
+SELECT pair_id, CAST(round(rougel, 6) AS DOUBLE) AS "rougeL" FROM rl""")
 def q_rougel(spark, sf_dir):
     return rounded(scored_pairs(spark, sf_dir, ("rougeL",)).select("pair_id", "rougeL"))
 
 
+@register("overlap_means", operators=("AGG-24", "FN-5", "FN-7"), sql=_ROUGEL_SQL + """
+SELECT CAST(round(avg(rougel), 6) AS DOUBLE) AS "avg_rougeL_f1", CAST(round(avg(bleu4), 6) AS DOUBLE) AS avg_bleu4,
+       count(*) AS n_pairs
+FROM sc JOIN rl USING (pair_id)""")
+def q_overlap_means(spark, sf_dir):
+    """AGG-24 without stemming, which SQL can follow."""
+    from quarry.operators.buffer_ops import overlap_report
+    p = conversation_pairs(spark, sf_dir).select(
+        F.concat_ws(":", "conv_id", "turn").alias("pair_id"), F.col("completion").alias("pred"), F.col("prompt").alias("gold"))
+    return rounded(overlap_report(p, "pair_id", "pred", "gold", stem=False))
+
+
+@register("trigger_four", operators=("FN-9", "FN-5", "FN-7", "JOIN-11"), sql=_ROUGEL_SQL + "," + trigger_plans._COMPONENTS_SQL
+          .split("scored AS (")[0].rstrip().rstrip(",") + """,
+four AS (
+  SELECT p.conv_id || ':' || p.turn AS pair_id, p.conv_id, p.turn, comp.bucket, margin, quality, toxic, band_lo, band_hi,
+         CASE WHEN trim(coalesce(p.prompt, '')) = '' THEN 1.0 ELSE sc.bleu4 END AS bleu,
+         CASE WHEN trim(coalesce(p.prompt, '')) = '' THEN 1.0 ELSE rl.rougel END AS rouge,
+         CASE WHEN trim(coalesce(p.prompt, '')) = '' THEN 1.0 ELSE similarity END AS similarity
+  FROM pairs p JOIN sc ON sc.pair_id = p.conv_id || ':' || p.turn JOIN rl ON rl.pair_id = sc.pair_id
+  LEFT JOIN comp ON comp.sample_id = p.conv_id, band),
+x AS (
+  SELECT *, (0.33 * (1 - margin / 0.25) + 0.12 * (1 - bleu) + 0.23 * (1 - rouge) + 0.33 * (1 - similarity))
+            * CASE WHEN similarity > band_lo AND similarity < band_hi THEN 0.5 ELSE 1.0 END AS score FROM four)
+SELECT pair_id, conv_id, turn, bucket, CAST(round(margin, 6) AS DOUBLE) AS margin, CAST(round(bleu, 6) AS DOUBLE) AS bleu,
+       CAST(round(rouge, 6) AS DOUBLE) AS rouge, CAST(round(similarity, 6) AS DOUBLE) AS similarity,
+       CAST(round(score, 6) AS DOUBLE) AS anomaly_score, score >= 0.3 AS "trigger", quality, toxic
+FROM x""")
+def q_trigger_four(spark, sf_dir):
+    """``trigger_full`` without stemming, which SQL can follow: all four terms live."""
+    return trigger_plans.full_triggers(spark, sf_dir, stem=False)
+
+
 @register("rouge_stemmed", operators=("FN-7", "FN-8"))
 def q_rouge_stemmed(spark, sf_dir):
     """ROUGE-1 and ROUGE-L F with Porter stemming, as the reference scores

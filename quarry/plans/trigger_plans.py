@@ -122,15 +122,15 @@ def q_trigger_eval(spark, sf_dir):
     return rounded(binary_metrics(s, "toxic", "trigger", by="bucket"))
 
 
-def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pair_scores(spark: SparkSession, sf_dir: str, stem: bool = True) -> DataFrame:
     """pair_id, conv_id, turn, gold, bleu, rouge of every conversation pair:
-    BLEU-4 and stemmed ROUGE-L of the answer against the user turn."""
+    BLEU-4 and (stemmed) ROUGE-L of the answer against the user turn."""
     from quarry.operators.overlap import score_pairs
     from quarry.plans.text_plans import conversation_pairs
     pairs = conversation_pairs(spark, sf_dir).select(
         F.concat_ws(":", "conv_id", "turn").alias("pair_id"), "conv_id", "turn",
         F.col("completion").alias("pred"), F.col("prompt").alias("gold"))
-    scores = score_pairs(pairs, "pair_id", "pred", "gold", ("bleu4", "rougeL"), stem=True)
+    scores = score_pairs(pairs, "pair_id", "pred", "gold", ("bleu4", "rougeL"), stem=stem)
     return (pairs.select("pair_id", "conv_id", "turn", "gold").join(scores, "pair_id")
             .withColumnsRenamed({"bleu4": "bleu", "rougeL": "rouge"}))
 
@@ -139,19 +139,24 @@ FULL_COLUMNS = ("pair_id", "conv_id", "turn", "bucket", "margin", "bleu", "rouge
                 "anomaly_score", "trigger", "quality", "toxic")
 
 
-@register("trigger_full", operators=("FN-9", "FN-5", "FN-7", "JOIN-11"))
-def q_trigger_full(spark, sf_dir):
+def full_triggers(spark: SparkSession, sf_dir: str, stem: bool) -> DataFrame:
     """Every conversation pair with all four terms live: its texts' overlap,
     margin and similarity from the vector of its conversation (null, and so
     the score, where there is none)."""
     comp = sample_components(spark, sf_dir)
     band = fit_band(comp, "similarity", where=F.col("quality") == 1)
-    s = pair_scores(spark, sf_dir).join(
+    s = pair_scores(spark, sf_dir, stem).join(
         comp.drop("bleu", "rouge").withColumnRenamed("sample_id", "conv_id"), "conv_id", "left")
     return rounded(score_anomaly(s, band, weights=SLICE_WEIGHTS, max_margin=SLICE_MAX_MARGIN,
                                  threshold=SLICE_THRESHOLD, gold="gold").select(*FULL_COLUMNS))
 
 
+@register("trigger_full", operators=("FN-9", "FN-5", "FN-7", "JOIN-11"))
+def q_trigger_full(spark, sf_dir):
+    """All four terms with stemmed ROUGE-L, as the reference scores."""
+    return full_triggers(spark, sf_dir, stem=True)
+
+
 @register("margin", operators=("FN-2", "SRT-5", "FN-3", "PRJ-14"), sql="""
 SELECT vec_id,
        CAST(round(CASE WHEN len(v) = 1 THEN v[1]
