@@ -126,78 +126,65 @@ def assign_nearest(samples: DataFrame, clusters: DataFrame, by: str = "bucket",
     """JOIN-3 + FN-20 + FN-21: best cluster of the sample's bucket.
 
     score = w_cos cos(v, centroid) + w_kw |K_s & K_c| / max(|K_c|, 1); the
-    first maximum wins (ties go to the smallest cluster id).  Candidates are
-    an equi-join on the bucket (the bucket's promoted clusters).  The keyword
-    overlap is a join of exploded words on (bucket, cluster, word) counted
-    per (sample, cluster), so no keyword set is intersected in one row and
-    cluster keyword sets can be any size (``cluster_words`` is the long
-    table ``(by, cluster_id, word)``; otherwise ``cluster_kw`` arrays are
-    exploded).  Returns (id, bucket, assigned_cluster, match_score) for every
-    sample: cluster and score are null where the sample has no bucket or its
-    bucket no cluster; with ``threshold`` the cluster is also null when the
-    best score is below it.
+    first maximum wins (ties go to the smallest cluster id).  Tiles of samples
+    meet blocks of their bucket's clusters (``nearest``), so no row per sample
+    and cluster exists.  ``cluster_words`` is the long table (by, cluster_id,
+    word); otherwise ``cluster_kw`` arrays are exploded.  Returns (id, bucket,
+    assigned_cluster, match_score) for every sample row: cluster and score are
+    null where the sample has no bucket or vector or its bucket no cluster; with
+    ``threshold`` the cluster is also null when the best score is below it.
     """
-    c = clusters.select(F.col(by), F.col(cluster_id).alias("_cid"),
-                        F.col(cluster_vec).alias("_cv"), norm(cluster_vec).alias("_cn"))
+    from quarry.operators.nearest import assign, nearest_cluster
+    from quarry.session import materialize
     if cluster_words is None:
-        cluster_words = clusters.select(F.col(by), F.col(cluster_id),
-                                        F.explode(F.array_distinct(cluster_kw)).alias("word"))
-    cw = cluster_words.select(F.col(by), F.col(cluster_id).alias("_cid"), F.col("word")).distinct()
-    csize = cw.groupBy(by, "_cid").agg(F.count(F.lit(1)).alias("_ck"))
-    s = samples.select(F.col(id_col), F.col(by), F.col(vec), norm(vec).alias("_sn"))
-    sw = samples.select(F.col(id_col), F.col(by),
-                        F.explode(F.array_distinct(kw)).alias("word"))
-    inter = (sw.join(cw, [by, "word"], "inner")
-             .groupBy(id_col, by, "_cid").agg(F.count(F.lit(1)).alias("_hit")))
-    cand = (s.join(c, by, "inner")
-            .join(csize, [by, "_cid"], "left")
-            .join(inter, [id_col, by, "_cid"], "left"))
-    overlap = F.coalesce(F.col("_hit"), F.lit(0)) / F.greatest(
-        F.coalesce(F.col("_ck"), F.lit(0)), F.lit(1))
-    score = F.lit(w_cos) * cosine(vec, "_cv", "_sn", "_cn") + F.lit(w_kw) * overlap
-    cand = cand.select(id_col, by, "_cid", score.alias("_score"))
-    rank_key = F.struct(F.col("_score"), (-F.col("_cid")).alias("_neg"))
-    best = (cand.groupBy(id_col, by)
-            .agg(F.max_by(F.col("_cid"), rank_key).alias("assigned_cluster"),
-                 F.max("_score").alias("match_score")))
+        cluster_words = clusters.select(F.col(by), F.col(cluster_id), F.explode(F.array_distinct(cluster_kw)).alias("word"))
+    rows = materialize(samples.select(F.col(id_col), F.col(by).alias("by"), F.col(vec).alias("vec"), F.col(kw).alias("words"),
+                                      F.monotonically_increasing_id().alias("uid")))
+    found = nearest_cluster(rows, clusters.select(F.col(by).alias("by"), F.col(cluster_id).alias("cid"), F.col(cluster_vec).alias("vec")),
+                            cluster_words.select(F.col(by).alias("by"), F.col(cluster_id).alias("cid"), "word"), w_cos, w_kw)
+    out = assign(rows.select(id_col, F.col("by").alias(by), "uid"), found, "assigned_cluster", "match_score").drop("uid")
     if threshold is not None:
-        best = best.withColumn(
-            "assigned_cluster",
-            F.when(F.col("match_score") >= threshold, F.col("assigned_cluster")))
-    return join_null_safe(samples.select(id_col, by).distinct(), best, [id_col, by], "left")
+        out = out.withColumn("assigned_cluster", F.when(F.col("match_score") >= threshold, F.col("assigned_cluster")))
+    return out
 
 
 def assign_to_centroids(df: DataFrame, cents: DataFrame, vec: str = "embedding",
                         cluster_id: str = "cluster_id", centroid: str = "centroid",
                         metric: str = "cosine", out: str = "pred",
-                        max_k: int = 100_000) -> DataFrame:
+                        most_bytes: int = 32 << 20) -> DataFrame:
     """Nearest of a *model's* k centroids (KMeans-style assignment step).
 
-    The k centroids are packed into one row and broadcast, and each row scans
-    the k candidates with array functions in the JVM.  The broadcast is
-    guarded: k is counted first (a scan of the small centroid table) and more
-    than ``max_k`` centroids is refused rather than shipped to every task.
-    Ties go to the smallest id.  ``metric``: ``cosine`` (max similarity) or
-    ``sqeuclidean`` (min distance).
+    The centroids are packed into one row and broadcast, and each row scans them
+    with array functions in the JVM.  Their bytes are measured first: beyond
+    ``most_bytes`` they are cut into blocks of that size, and each block takes
+    one pass, which keeps a row's best so far.  Ties go to the smallest id.
+    ``metric``: ``cosine`` (max similarity) or ``sqeuclidean`` (min distance).
     """
-    if cents.limit(max_k + 1).count() > max_k:
-        raise ValueError(f"more than {max_k} centroids: not a model-sized table to broadcast")
-    packed = cents.agg(F.collect_list(F.struct(
-        F.col(cluster_id).alias("cid"), F.col(centroid).alias("c"),
-        norm(centroid).alias("cn"))).alias("_cents"))
-    j = df.crossJoin(F.broadcast(packed)).withColumn("_vn", norm(vec))  # one packed row
-    if metric == "cosine":
-        cand = F.transform("_cents", lambda x: F.struct(
-            cosine(vec, x["c"], "_vn", x["cn"]).alias("s"), (-x["cid"]).alias("neg"),
-            x["cid"].alias("cid")))
-        best = F.array_max(cand)["cid"]
-    else:
-        cand = F.transform("_cents", lambda x: F.struct(
-            F.aggregate(F.zip_with(F.col(vec), x["c"], lambda a, b: (a - b) * (a - b)),
-                        F.lit(0.0), lambda acc, y: acc + y).alias("d"),
-            x["cid"].alias("cid")))
-        best = F.array_min(cand)["cid"]
-    return j.withColumn(out, best).drop("_cents", "_vn")
+    from quarry.operators.indexing import running_total
+    from quarry.session import materialize
+    width = F.size(centroid) * 8 + 32
+    total = cents.agg(F.sum(width.cast("long"))).first()[0] or 0
+    blocks = [cents]
+    if total > most_bytes:
+        sized = running_total(cents.select(cluster_id, centroid, width.cast("long").alias("_b")), [cluster_id], ["_b"])
+        sized = materialize(sized.withColumn("_blk", F.floor((F.col("cum__b") - F.col("_b")) / most_bytes)))
+        blocks = [sized.where(F.col("_blk") == i) for i in range(sized.agg(F.max("_blk")).first()[0] + 1)]
+
+    def near(c):  # the smallest pair is the best: (distance, id)
+        far = (-cosine(vec, c["c"], "_vn", c["cn"]) if metric == "cosine" else
+               F.aggregate(F.zip_with(F.col(vec), c["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, y: acc + y))
+        return F.struct(far.alias("far"), c["cid"].alias("cid"))
+
+    j = df.withColumn("_vn", norm(vec))
+    for i, block in enumerate(blocks):
+        packed = block.agg(F.collect_list(F.struct(F.col(cluster_id).alias("cid"), F.col(centroid).alias("c"),
+                                                   norm(centroid).alias("cn"))).alias("_cents"))
+        j = j.crossJoin(F.broadcast(packed))  # one packed row
+        best = F.array_min(F.transform("_cents", near))
+        j = j.withColumn("_best", best if i == 0 else F.least(F.col("_best"), best)).drop("_cents")
+        if len(blocks) > 1:
+            j = materialize(j)
+    return j.withColumn(out, F.col("_best.cid")).drop("_best", "_vn")
 
 
 def best_match_similarity(curr: DataFrame, prev: DataFrame, vec: str = "centroid",

@@ -275,9 +275,9 @@ cand AS (
   FROM mem m JOIN cc ON cc.bucket = m.bucket
   LEFT JOIN cs ON cs.bucket = cc.bucket AND cs.cid = cc.cid
   LEFT JOIN hit ON hit.vec_id = m.vec_id AND hit.bucket = m.bucket AND hit.cid = cc.cid)
-SELECT vec_id AS sample_id, bucket, arg_max(cid, (score, -cid)) AS assigned_cluster,
+SELECT m.vec_id AS sample_id, m.bucket, arg_max(cid, (score, -cid))::BIGINT AS assigned_cluster,
        CAST(round(max(score), 6) AS DOUBLE) AS match_score
-FROM cand GROUP BY vec_id, bucket""")
+FROM mem m LEFT JOIN cand ON cand.vec_id = m.vec_id GROUP BY m.vec_id, m.bucket""")
 def q_assign_nearest(spark, sf_dir):
     """Every sample against the (bucket, label) clusters of its bucket."""
     m = ncc_members(spark, sf_dir)

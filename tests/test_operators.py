@@ -233,3 +233,40 @@ def test_assign_nearest_returns_every_sample(spark):
     assert got[2] == (None, None, None) and got[3] == ("lone", None, None)
     assert got[1][:2] == ("a", 7) and got[1][2] == 1.0
     assert got[4][:2] == ("a", 8) and abs(got[4][2] - 0.7) < 1e-12 and len(got) == 4
+
+
+def test_assign_nearest_in_blocks_against_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from quarry.operators import nearest
+    from quarry.operators.centroids import assign_nearest
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(nearest, "SMALL", 0)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(12)]
+    s = [(i, "ab"[i % 2], rng.normal(0, 1, 4).tolist() if i % 7 else None, rng.choice(words, 3).tolist()) for i in range(90)]
+    c = [("ab"[i % 2], i, (rng.normal(0, 1, 4) * (i != 4)).tolist(), rng.choice(words, 1 + i % 5).tolist()) for i in range(40)]
+    got = {r.sample_id: (r.assigned_cluster, r.match_score) for r in assign_nearest(
+        spark.createDataFrame(s, "sample_id long, bucket string, embedding array<double>, keywords array<string>"),
+        spark.createDataFrame(c, "bucket string, cluster_id long, centroid array<double>, keywords array<string>")).collect()}
+
+    def score(v, kw, cv, ck):
+        a, b = np.array(v), np.array(cv)
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return 0.7 * (a @ b / n if n else 0.0) + 0.3 * len(set(kw) & set(ck)) / len(set(ck))
+
+    for i, b, v, kw in s:
+        if v is None:
+            assert got[i] == (None, None)
+            continue
+        best = max((score(v, kw, cv, ck), -cid) for cb, cid, cv, ck in c if cb == b)
+        assert got[i][0] == -best[1] and abs(got[i][1] - best[0]) < 1e-9
+
+
+def test_assign_to_centroids_in_blocks(spark):
+    from quarry.operators.centroids import assign_to_centroids
+    df = spark.createDataFrame([(i, [float(i % 5), float(i % 3)]) for i in range(30)], "id long, embedding array<double>")
+    cents = spark.createDataFrame([(k, [k * 0.7, 2.0 - k * 0.3]) for k in range(6)], "cluster_id long, centroid array<double>")
+    for metric in ("cosine", "sqeuclidean"):
+        one, many = ({r.id: r.pred for r in assign_to_centroids(df, cents, metric=metric, most_bytes=n).collect()} for n in (1 << 20, 100))
+        assert one == many and len(one) == 30
