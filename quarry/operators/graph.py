@@ -8,12 +8,17 @@ distance block with a matrix product and emits only what the operator needs
 (edges over a cut, per-component minimum edges, per-cluster sums): never the
 full pair list.  A big bucket spreads over (tiles^2)/2 tasks.
 
+Where only components matter, a tile pair returns a spanning forest of its edges
+(``forest=True``), fewer edges than it has points, however dense it is.
+
 Components: min-label propagation with pointer jumping, L(u) <- min(L(u),
 min L(v) over neighbours), then L(u) <- L(L(u)).  L only decreases and always
 names a node of u's component, so the fixed point is the component minimum;
 jumping halves label chains each round.  Every round is written as a table
-in the shared checkpoint folder (lineage cut); the loop's only driver traffic
-is one changed-label probe.
+in the shared checkpoint folder (lineage cut).  A round's labels are broadcast
+while there are at most ``SMALL_ROWS`` of them, and so are the labels that a jump
+changes; a node or component with a large share of the rows is then no hot key.
+Beyond that Spark splits the skewed joins.
 """
 
 from __future__ import annotations
@@ -25,6 +30,9 @@ from pyspark.sql import functions as F
 
 from quarry.session import materialize
 
+#: Rows of labels (two ids each) that may be broadcast.
+SMALL_ROWS = 500_000
+
 
 def _keys(by) -> list[str]:
     if by is None:
@@ -71,7 +79,33 @@ def block(av: np.ndarray, bv: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
-def _edges_fn(keys, threshold, metric):
+def spanning_forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a spanning forest of the bipartite graph ``hit``."""
+    rows, cols = np.ones(hit.shape[0], dtype=bool), np.ones(hit.shape[1], dtype=bool)  # not reached yet
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for start in range(len(rows)):
+        if not rows[start]:
+            continue
+        rows[start] = False
+        front = np.array([start])
+        while len(front):
+            seen = hit[front]
+            c = np.flatnonzero(seen.any(0) & cols)
+            cols[c] = False
+            out.append((front[seen[:, c].argmax(0)], c))
+            seen = hit[:, c]
+            front = np.flatnonzero(seen.any(1) & rows) if len(c) else c
+            rows[front] = False
+            out.append((front, c[seen[front].argmax(1)] if len(front) else front))
+    if not out:
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def _edges_fn(keys, threshold, metric, forest):
+    def pick(hit):
+        return spanning_forest(hit) if forest else np.nonzero(hit)
+
     def fn(it):
         for pdf in it:
             outs = []
@@ -80,14 +114,17 @@ def _edges_fn(keys, threshold, metric):
                 av, bv = np.stack(r["a_v"]), np.stack(r["b_v"])
                 s = block(av, bv, metric)
                 hit = s >= threshold if metric == "cosine" else s <= threshold
-                hit &= ai[:, None] < bi[None, :]
-                x, y = np.nonzero(hit)
+                if forest:
+                    hit &= ai[:, None] != bi[None, :]
+                else:
+                    hit &= ai[:, None] < bi[None, :]
+                x, y = pick(hit)
                 if len(x):
-                    o = pd.DataFrame({"src": ai[x], "dst": bi[y], "w": s[x, y]})
+                    o = pd.DataFrame({"src": np.minimum(ai[x], bi[y]), "dst": np.maximum(ai[x], bi[y]), "w": s[x, y]})
                     for k in keys:
                         o.insert(0, k, r[k])
                     outs.append(o)
-                if r["s_tile"] != r["t_tile"]:
+                if r["s_tile"] != r["t_tile"] and not forest:
                     hit2 = (s >= threshold if metric == "cosine" else s <= threshold)
                     hit2 &= ai[:, None] > bi[None, :]
                     x, y = np.nonzero(hit2)
@@ -102,15 +139,17 @@ def _edges_fn(keys, threshold, metric):
 
 
 def similarity_edges(df: DataFrame, id_col: str, vec: str, threshold: float, by=None,
-                     metric: str = "cosine", tile_size: int = 2048) -> DataFrame:
+                     metric: str = "cosine", tile_size: int = 2048, forest: bool = False) -> DataFrame:
     """JOIN-5: all pairs (src < dst) in the same bucket with cosine >= cut
-    (or euclidean <= cut), as an edge table (by..., src, dst, w)."""
+    (or euclidean <= cut), as an edge table (by..., src, dst, w).  With
+    ``forest`` only edges that keep the same components, at most the points of
+    a tile pair for each of them."""
     keys = _keys(by)
     work = tile_pairs(df, id_col, vec, keys, tile_size)
     kschema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                         for f in df.select(*keys).schema.fields)
     schema = (kschema + ", " if kschema else "") + "src long, dst long, w double"
-    return work.mapInPandas(_edges_fn(keys, threshold, metric), schema)
+    return work.mapInPandas(_edges_fn(keys, threshold, metric, forest), schema)
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "src",
@@ -125,16 +164,19 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str =
     und = materialize(und)
     lab = nodes.select(F.col(node).alias("u")).distinct().withColumn("c", F.col("u"))
     lab = materialize(lab)
+    small = lab.count() <= SMALL_ROWS
     for _ in range(max_rounds):
-        nb = (und.join(lab.withColumnRenamed("u", "v").withColumnRenamed("c", "cv"), "v")
-              .groupBy("u").agg(F.min("cv").alias("m")))
-        prop = (lab.join(nb, "u", "left")
-                .select("u", F.least("c", F.coalesce("m", "c")).alias("c")))
-        jump = (prop.join(prop.select(F.col("u").alias("c"), F.col("c").alias("cc")), "c", "left")
-                .select("u", F.coalesce("cc", "c").alias("c")))
-        # keep the previous label in the written round table, so the
-        # convergence test is a scan of that table, not another join
-        new = materialize(jump.join(lab.select("u", F.col("c").alias("old")), "u"))
+        far = lab.select(F.col("u").alias("v"), F.col("c").alias("cv"))
+        nb = und.join(F.broadcast(far) if small else far, "v").groupBy("u").agg(F.min("cv").alias("m"))
+        prop = materialize(lab.join(F.broadcast(nb) if small else nb, "u", "left")
+                           .select("u", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old")))
+        # only labels that have moved on themselves can change others
+        moved = materialize(prop.select("c").distinct().join(prop.select(F.col("u").alias("c"), F.col("c").alias("cc")), "c")
+                            .where("cc < c"))
+        moved = F.broadcast(moved) if moved.count() <= SMALL_ROWS else moved
+        jump = prop.join(moved, "c", "left").select("u", F.coalesce("cc", "c").alias("c"), "old")
+        # the previous label rides along, so the convergence test is a scan
+        new = materialize(jump)
         lab = new.select("u", "c")
         if new.filter(F.col("c") != F.col("old")).limit(1).count() == 0:
             return lab.select(F.col("u").alias(node), F.col("c").alias("comp"))

@@ -27,7 +27,7 @@ def merge_similar(clusters: DataFrame, members: DataFrame, by: str = "bucket",
     ids = dense_index(clusters.select(by, cluster_id, centroid), [by, cluster_id], "_gid")
     sizes = ids.groupBy(by).agg(F.count(F.lit(1)).alias("_k"))
     eligible = ids.join(sizes.filter(F.col("_k") >= min_clusters).select(by), by, "left_semi")
-    edges = similarity_edges(eligible, "_gid", centroid, threshold, by=by)
+    edges = similarity_edges(eligible, "_gid", centroid, threshold, by=by, forest=True)
     comp = components(ids.select(F.col("_gid").alias("id")), edges, "id", "src", "dst")
     root = ids.select(F.col("_gid").alias("comp"), F.col(cluster_id).alias("target_id"))
     mapping = (ids.join(comp.withColumnRenamed("id", "_gid"), "_gid")

@@ -82,7 +82,7 @@ cc(node, comp) AS (
 SELECT node AS vec_id, min(comp) AS comp FROM cc GROUP BY node""")
 def q_eps_components(spark, sf_dir):
     e = embeddings(spark, sf_dir)
-    edges = G.similarity_edges(e, "vec_id", "embedding", EPS_COS)
+    edges = G.similarity_edges(e, "vec_id", "embedding", EPS_COS, forest=True)
     return G.components(e.select(F.col("vec_id").alias("id")), edges, "id").select(
         F.col("id").alias("vec_id"), "comp")
 
