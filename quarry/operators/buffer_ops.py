@@ -82,6 +82,29 @@ def check_integrity(members: DataFrame, clusters: DataFrame, by: str = "bucket",
                     F.coalesce("clusters", F.lit(0)).alias("clusters")))
 
 
+def buffer_integrity(members: DataFrame, clusters: DataFrame, centroids_: DataFrame, keyword_sets: DataFrame,
+                     by: str = "bucket", cluster_id: str = "cluster_id") -> DataFrame:
+    """AGG-28: per bucket, the mapped ids, those without a cluster row, and how
+    many cluster ids, centroids and keyword sets there are; ``sound`` if no id is
+    an orphan and the three counts agree."""
+    keys = [by, cluster_id]
+    marked = [(clusters, "c"), (centroids_, "v"), (keyword_sets, "k")]
+    rows = members.select(*keys).distinct().withColumn("what", F.lit("m"))
+    for df, what in marked:
+        rows = rows.unionByName(df.select(*keys).distinct().withColumn("what", F.lit(what)))
+    per = rows.groupBy(*keys).agg(*[F.count_if(F.col("what") == w).alias(w) for w in "mcvk"])
+    out = per.groupBy(by).agg(F.sum("m").alias("mapped"), F.count_if((F.col("m") > 0) & (F.col("c") == 0)).alias("orphan_ids"),
+                              F.sum("c").alias("cluster_ids"), F.sum("v").alias("centroids"), F.sum("k").alias("keyword_sets"))
+    return out.withColumn("sound", (F.col("orphan_ids") == 0) & (F.col("cluster_ids") == F.col("centroids"))
+                          & (F.col("cluster_ids") == F.col("keyword_sets")))
+
+
+def with_cluster(members: DataFrame, clusters: DataFrame, by: str = "bucket", cluster_id: str = "cluster_id") -> DataFrame:
+    """JOIN-2: each member with its cluster's row.  One row per cluster; Spark
+    broadcasts the cluster side if it measures small, else splits hot clusters."""
+    return members.join(clusters, [by, cluster_id])
+
+
 def buffer_occupancy(members: DataFrame, by: str = "bucket", cluster_id: str = "cluster_id") -> DataFrame:
     """AGG-30: per bucket, the rows that wait in the buffer (cluster id -1 or
     null) and the rows that a cluster has."""
@@ -131,13 +154,15 @@ def extract_number(text, rule: str = "final", label=None) -> Column:
     raise ValueError(f"unknown rule {rule}")
 
 
+#: Patterns of the prompt's sections (fixed values).
+CONTEXT_SECTION = r"(?s)Context:(.*?)(?:\n\n|Options:)"
+OPTIONS_SECTION = r"(?s)Options:\n(.*?)(?:\n\nAnswer:|\nAnswer:)"
+
+
 def parse_sections(df: DataFrame, prompt: str = "prompt") -> DataFrame:
     """PRJ-9: ``Context:`` and ``Options:`` sections of a prompt."""
-    p = F.col(prompt)
-    return df.withColumn(
-        "context", T.strip(F.regexp_extract(p, r"(?s)Context:(.*?)(?:\n\n|Options:)", 1))
-    ).withColumn(
-        "options", T.strip(F.regexp_extract(p, r"(?s)Options:\n(.*?)(?:\n\nAnswer:|\nAnswer:)", 1)))
+    return df.withColumns({"context": T.strip(F.regexp_extract(prompt, CONTEXT_SECTION, 1)),
+                           "options": T.strip(F.regexp_extract(prompt, OPTIONS_SECTION, 1))})
 
 
 def overlap_report(df: DataFrame, key: str, pred: str, gold: str, stem: bool = True) -> DataFrame:

@@ -174,13 +174,6 @@ def label_encode(df: DataFrame, col: str, out: str = "label_id") -> DataFrame:
     return distinct_codes(df, col, out)
 
 
-def quarantine(df: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
-    """FLT-14: split into (good, bad) rows by a validity predicate; both keep
-    ``sample_id`` so skipped rows are counted, never silently lost."""
-    v = F.coalesce(valid, F.lit(False))
-    return df.filter(v), df.filter(~v)
-
-
 def sample_ids(df: DataFrame, key: str, out: str = "global_index") -> DataFrame:
     """PRJ-12: reproducible 0-based position by a natural key (never
     ``monotonically_increasing_id``), plus ``uid = sample_<i>``."""

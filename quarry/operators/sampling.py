@@ -174,6 +174,13 @@ def mix(id_side: DataFrame, ood_side: DataFrame, id_col: str, n_each: int,
 
 
 def top_runs(runs: DataFrame, by, k: int = 3, acc: str = "val_acc",
-             loss: str = "val_loss") -> DataFrame:
-    """SRT-1: best ``k`` runs per group by (accuracy desc, loss asc)."""
-    return capped_rank(runs, by, [F.col(acc).desc(), F.col(loss).asc()], k, "rank")
+             loss: str = "val_loss", tie: str | None = None) -> DataFrame:
+    """SRT-1: best ``k`` runs per group by (accuracy desc, loss asc), then by
+    ``tie``."""
+    return capped_rank(runs, by, [F.col(acc).desc(), F.col(loss).asc(), *([tie] if tie else [])], k, "rank")
+
+
+def first_runs(runs: DataFrame, order, k: int) -> DataFrame:
+    """SRT-2: the first ``k`` runs in ``order`` (a top-k: every partition keeps
+    k, one merge)."""
+    return runs.orderBy(*order).limit(k)

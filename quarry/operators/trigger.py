@@ -81,6 +81,11 @@ def score_anomaly(df: DataFrame, band: DataFrame | None = None, weights=None,
     return out
 
 
+def keep_triggered(df: DataFrame, trigger: str = "trigger") -> DataFrame:
+    """FLT-5: the rows that fire; a null trigger does not."""
+    return df.where(F.col(trigger))
+
+
 def ema(df: DataFrame, value: str, order, by=None, alpha: float = DEFAULT_EMA_ALPHA,
         out: str = "ema_score", chunk_rows: int = 100_000) -> DataFrame:
     """WIN-1: e_t = (1 - a) e_{t-1} + a x_t with e_0 = 0, per key in ``order``.

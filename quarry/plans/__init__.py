@@ -15,6 +15,7 @@ _MODULES = [
     "quarry.plans.stream_plans",
     "quarry.plans.io_plans",
     "quarry.plans.curation_plans",
+    "quarry.plans.sink_plans",
 ]
 
 

@@ -200,7 +200,7 @@ def q_central_sim(spark, sf_dir):
     return rounded(C.central_similarity(embeddings(spark, sf_dir), "label"))
 
 
-@register("cluster_summary", operators=("AGG-12", "FLT-7", "JOIN-2", "SNK-8", "FN-28"),
+@register("cluster_summary", operators=("AGG-12", "SNK-8", "FN-28"),
           sql=BASE + """
 SELECT bucket, pred AS cluster_id, bucket || '_cluster_' || CAST(pred AS VARCHAR) AS cluster_label,
        count(*) AS num_samples, count(*) >= 20 AS eligible
@@ -289,7 +289,7 @@ def q_assign_nearest(spark, sf_dir):
     return rounded(C.assign_nearest(s, cl, by="bucket", cluster_words=words))
 
 
-@register("flat_tags", operators=("FN-30", "PRJ-18"), sql=BASE + """
+@register("flat_tags", operators=("FN-30",), sql=BASE + """
 SELECT vec_id, bucket || '_' || CAST(pred AS VARCHAR) AS tag FROM mem""")
 def q_flat_tags(spark, sf_dir):
     m = ncc_members(spark, sf_dir)
@@ -414,7 +414,7 @@ def q_pool_chunks(spark, sf_dir):
         F.expr("aggregate(embedding, 0D, (a, x) -> a + x * x)").alias("sq_norm")))
 
 
-@register("snapshot", operators=("SNK-4", "PRJ-13", "JOIN-14"), sql="""
+@register("snapshot", operators=("PRJ-13", "JOIN-14"), sql="""
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
                   row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings),
 st AS (SELECT unnest([90, 300]) AS stage)

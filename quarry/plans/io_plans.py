@@ -40,7 +40,7 @@ def q_json_roundtrip(spark, sf_dir):
     return back.select("doc_id", "lang", F.md5("text").alias("text_md5"), "n_chars")
 
 
-@register("tolerant_load", operators=("SRC-4", "FLT-14"), sql="""
+@register("tolerant_load", operators=("SRC-4",), sql="""
 SELECT lang, count(*) FILTER (WHERE lang <> 'es') AS parsed,
        count(*) FILTER (WHERE lang = 'es') AS corrupt
 FROM documents GROUP BY lang""")
@@ -103,7 +103,7 @@ SELECT bucket AS bucket_id, pred AS cluster_id,
 FROM mem GROUP BY bucket, pred"""
 
 
-@register("summary_roundtrip", operators=("SNK-7", "SNK-8", "AGG-12", "SNK-5"),
+@register("summary_roundtrip", operators=("SNK-7", "SNK-8", "AGG-12"),
           sql=_summary_sql())
 def q_summary_roundtrip(spark, sf_dir):
     """Nested bucket -> cluster summary written as JSON and flattened back."""
@@ -118,7 +118,7 @@ def q_summary_roundtrip(spark, sf_dir):
     return IO.flatten_summary(back)
 
 
-@register("metrics_log", operators=("SNK-3", "SNK-6", "SNK-4"), sql="""
+@register("metrics_log", operators=("SNK-6",), sql="""
 SELECT toxic, CAST(2 AS BIGINT) AS runs, count(*) AS n FROM labels GROUP BY toxic""")
 def q_metrics_log(spark, sf_dir):
     """Class counts appended twice to a metrics log and exported as CSV."""

@@ -139,7 +139,7 @@ def q_id_ood_mix(spark, sf_dir):
     return SM.mix(a, b, "doc_id", 50, seed=42).select("doc_id", "side", "mix_pos")
 
 
-@register("topk_runs", operators=("SRT-1", "SRT-2"), sql="""
+@register("topk_runs", operators=("SRT-1",), sql="""
 SELECT event_type, event_id, value AS val_acc, user_id AS val_loss, rank FROM (
   SELECT event_type, event_id, value, user_id,
     row_number() OVER (PARTITION BY event_type ORDER BY value DESC, user_id, event_id) AS rank

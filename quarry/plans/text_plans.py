@@ -263,13 +263,10 @@ def q_multi_choice(spark, sf_dir):
     mc = pairs.select("conv_id", "turn", F.col("prompt").alias("context"),
                       F.split(T.strip("completion"), "\n").alias("endings"),
                       (F.length("prompt") % 4).cast("int").alias("label"))
-    p = S.multi_choice_prompt(mc)
-    return p.select(
-        "conv_id", "turn", "label", "prompt", "completion",
-        T.strip(F.regexp_extract("prompt", r"(?s)Context:(.*?)(?:\n\n|Options:)", 1))
-        .alias("parsed_context"),
-        T.strip(F.regexp_extract("prompt", r"(?s)Options:\n(.*?)(?:\n\nAnswer:|\nAnswer:)", 1))
-        .alias("parsed_options"))
+    from quarry.operators.buffer_ops import parse_sections
+    return parse_sections(S.multi_choice_prompt(mc)).select(
+        "conv_id", "turn", "label", "prompt", "completion", F.col("context").alias("parsed_context"),
+        F.col("options").alias("parsed_options"))
 
 
 @register("qa_prompts", operators=("PRJ-4", "PRJ-5", "FLT-1", "FLT-2"), sql=f"""

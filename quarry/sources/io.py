@@ -86,16 +86,6 @@ def append_metrics(df: DataFrame, path: str) -> None:
     df.withColumn("run_ts", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def write_snapshot(df: DataFrame, path: str, vec: str, dim: int, label: str = "label",
-                   wide_csv: str | None = None) -> None:
-    """SNK-4: vectors as Parquet ``array<double>``; optional wide CSV with
-    ``dim_0 .. dim_{d-1}, label``."""
-    df.write.mode("overwrite").parquet(path)
-    if wide_csv:
-        from quarry.functions.vectors import wide_columns
-        write_csv(df.select(*wide_columns(vec, dim), label), wide_csv)
-
-
 def nest_summary(members: DataFrame, bucket: str = "bucket", cluster: str = "cluster_id",
                  label: str = "cluster_label") -> DataFrame:
     """SNK-7: the summary document, one row per bucket: ``bucket_id``,
