@@ -40,7 +40,8 @@ END_ID = 2
 SALTS = 64
 TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k.json"
-_CACHE_WORDS = 250_000
+#: Bytes of words and ids that a generation of the encoder's words keeps.
+_CACHE_BYTES = 20 << 20
 #: A space that does not open a word: such texts are encoded whole.
 _OTHER_SPACE = re.compile(r"\x20(?:[\s\x1c-\x1f]|\Z)")
 
@@ -86,13 +87,19 @@ class Encoder(dict):
     The tokenizer splits before every space that a word follows, whatever
     stands before, so the ids of a text are those of its space-led words in
     turn.  Each different word is encoded once and kept, in two generations
-    of a bounded size, so that frequent words stay.
+    of bounded bytes (objects and table entries counted roughly), so that
+    frequent words stay; ``forget`` drops them when a task ends.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.encoding = byte_pair_encoding(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def whole(self, text: str) -> bytes:
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
@@ -102,9 +109,14 @@ class Encoder(dict):
         if ids is None:
             i = self.encoding.encode_ordinary(" " + word)
             ids = struct.pack(f"<{len(i)}I", *i)
-        if len(self) >= _CACHE_WORDS:
+        cost = 200 + 2 * len(word) + len(ids)
+        if cost > _CACHE_BYTES // 64:
+            return ids
+        if self.held + cost > _CACHE_BYTES:
             self.older = dict(self)
             self.clear()
+            self.held = 0
+        self.held += cost
         self[word] = ids
         return ids
 
@@ -144,6 +156,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     yield _pieces(out)
                     out, held = [[], [], [], [], []], 0
             yield _pieces(out)
+        enc.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return map_batches(rows, run, "doc_id long, piece int, start long, length long, ids binary")

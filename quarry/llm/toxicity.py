@@ -9,11 +9,11 @@ machine scores
 so a pair such as an insult and the mention of a group weighs more, or less,
 than its two terms do alone.  Training uses a bounded sample: the
 ``MAX_LABELLED`` labelled rows that come first in a hash order, joined to their
-texts by broadcast (two or three numbers a row under that bound).  A first pass
-over the sample counts term slots per label and keeps the ``FEATURES`` slots of
-the largest chi-square; a second pass returns each sample row's kept slots,
-which the driver fits by mini-batch AdaGrad.  Scoring reads every whole text in
-Arrow batches, without a shuffle.
+texts by broadcast (two or three numbers a row under that bound) and written
+once.  A first pass over the sample counts term slots per label and keeps the
+``FEATURES`` slots of the largest chi-square (equal ones in slot order); a second
+pass returns each sample row's kept slots, which the driver fits by mini-batch
+AdaGrad.  Scoring reads every whole text in Arrow batches, without a shuffle.
 
 Defined cases: a null text counts as empty and scores as a text without known
 terms.  Labels that are null, rows whose id is null and held-out rows teach
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held_out, map_batches, may_learn, unused
+from quarry.llm.common import held_out, map_batches, materialize, may_learn, unused
 
 DIMENSIONS = 1 << 20
 FEATURES = 1024
@@ -44,7 +44,8 @@ FACTORS = 8
 EPOCHS = 12
 THRESHOLD = 0.3
 _WORDS = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 200_000
+#: Bytes of the words and slots that a task keeps.
+_CACHE_BYTES = 12 << 20
 
 
 def word_slots(word: str) -> list[int]:
@@ -54,17 +55,20 @@ def word_slots(word: str) -> list[int]:
 
 
 class _Slots(dict):
-    """word -> kept features, worked out once per word; emptied at a bound."""
+    """word -> kept features, worked out once per word; emptied at a bound of
+    bytes (objects and table entries counted roughly)."""
 
     def __init__(self, index: dict[int, int] | None):
         super().__init__()
-        self.index = index
+        self.index, self.held = index, 0
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
         slots = word_slots(word)
         got = tuple(slots if self.index is None else (self.index[s] for s in slots if s in self.index))
+        self.held += 160 + 2 * len(word) + (40 + 40 * len(got) if got else 0)
+        if self.held > _CACHE_BYTES:
+            self.clear()
+            self.held = 0
         self[word] = got
         return got
 
@@ -123,7 +127,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, n: int, factors: int = FACTORS, e
 
 def _counts(it):
     slots = _Slots(None)
-    seen = np.zeros((2, DIMENSIONS), dtype=np.int64)
+    seen = np.zeros((2, DIMENSIONS), dtype=np.int32)  # rows of a bounded sample
     n = np.zeros(2, dtype=np.int64)
     for b in it:
         for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
@@ -146,6 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .orderBy(F.xxhash64("id"), "id").limit(max_labelled))
     sample = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(may_learn("id"))
               .join(F.broadcast(marks), "id").select("text", (F.col("y") > 0).cast("int").alias("y")))
+    sample = materialize(sample)
     counts = (map_batches(sample, _counts, "slot long, neg long, pos long")
               .groupBy("slot").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")))
     total = counts.where("slot = -1").first()
