@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import WORD, materialize, null_safe_join, text_or_empty
 from quarry.operators.indexing import dense_index, running_total
+from quarry.operators.sampling import group_rank
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -99,14 +100,22 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                **how) -> DataFrame:
     """Each document as often as the mix takes it, with all its columns.
 
-    Rows that share id and source but not size are told apart by size."""
+    Rows that share id and source but not size are told apart by size; rows
+    alike in all three share their copies out by rank, so the sum stays exact."""
     from quarry.llm.common import unused
-    n, d, s, z = (unused(docs, x) for x in ("copies", "id", "source", "size"))
+    n, d, s, z, r, k = (unused(docs, x) for x in ("copies", "id", "source", "size", "rows", "rank"))
     taken = mix(docs, id_col, text_col, source_col, **how).groupBy("doc_id", "source", "size").agg(
         F.sum("copies").alias("c"), F.count(F.lit(1)).alias("r"))
     taken = taken.where("c > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z),
-                                        F.ceil(F.col("c") / F.col("r")).cast("int").alias(n))
+                                        F.col("c").alias(n), F.col("r").alias(r))
     left = docs.withColumns({d: F.col(id_col), s: F.col(source_col), z: words(text_col)})
-    out = null_safe_join(left, taken, [d, s, z], "inner")
+    taken = materialize(taken)  # numbers and ids; the second join is made only where alike rows exist
+    out = null_safe_join(left, taken.where(F.col(r) == 1), [d, s, z], "inner").withColumn(k, F.lit(1).cast("long"))
+    alike = taken.where(F.col(r) > 1)
+    if not alike.isEmpty():
+        several = null_safe_join(left, alike, [d, s, z], "inner").withColumn(k, F.xxhash64(F.col(text_col)))
+        out = out.unionByName(group_rank(several, [d, s, z], k, k))
     again = unused(docs, "again")
-    return out.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[docs[c] for c in docs.columns])
+    mine = F.floor((F.col(n) + F.col(r) - F.col(k)) / F.col(r)).cast("int")
+    return (out.withColumn(n, mine).where(F.col(n) > 0)
+            .withColumn(again, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns))
