@@ -3,6 +3,7 @@ names and planted links, for every operator and stage."""
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -164,20 +165,33 @@ def test_incremental_entropy_equals_a_recount(spark, text):
     assert (r.lo, r.hi) == ((hot[0], hot[-1] + w) if hot else (None, None))
 
 
-def _spread(edges, seeds, rounds=20, d=0.85):
-    hosts = {h for e in edges for h in e} | set(seeds)
-    score = dict(seeds)
+def _spread(edges, trusted, blocked, rounds=200, d=0.85):
+    """(trust times its seeds, distrust): plain sums, far past settling."""
+    hosts = {h for e in edges for h in e} | set(trusted) | set(blocked)
+    out = Counter()
+    for (a, _), w in edges.items():
+        out[a] += w
+    trust, bad = ({h: (1 - d) * (h in s) for h in hosts} for s in (trusted, blocked))
     for _ in range(rounds):
-        new = {h: seeds.get(h, 0) * (1 - d) for h in hosts}
-        for (a, b), w in edges.items():
-            new[b] += d * score.get(a, 0) * w / sum(v for (x, _), v in edges.items() if x == a)
-        score = new
-    return score
+        t, b = ({h: (1 - d) * (h in s) for h in hosts} for s in (trusted, blocked))
+        for (x, y), w in edges.items():
+            t[y] += d * trust[x] * w / out[x]
+            b[x] += d * bad[y] * w / out[x]
+        trust, bad = t, b
+    return trust, bad
+
+
+def _page(i, url, *to):
+    return (i, url, "".join(f'<a href="{t}">x</a>' for t in to) or None)
+
+
+def _judged(spark, pages):
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    return {r.page_id: r for r in url_filter.filter_urls(df).collect()}
 
 
 def test_urls_over_a_link_graph(spark):
-    def page(i, url, *to):
-        return (i, url, "".join(f'<a href="{t}">x</a>' for t in to) or None)
+    page = _page
     pages = [page(1, "http://good.org/a", "http://friend.net/x", "/local", "//Peer.NET/y"),
              page(2, "http://friend.net/", "https://peer.net"), page(3, "http://bad.com/de/1", "http://lone.net"),
              page(4, "http://shill.net/p", "http://bad.com/de/1", "http://bad.com/"), page(5, "http://lone.net/"),
@@ -187,8 +201,7 @@ def test_urls_over_a_link_graph(spark):
     got = {r.page_id: r for r in url_filter.filter_urls(df).collect()}
     edges = {("good.org", "friend.net"): 1, ("good.org", "peer.net"): 1, ("friend.net", "peer.net"): 1,
              ("bad.com", "lone.net"): 1, ("shill.net", "bad.com"): 1}
-    trust = _spread(edges, {"good.org": 1.0})
-    distrust = _spread({(b, a): w for (a, b), w in edges.items()}, {"bad.com": 0.5, "x.example.org": 0.5})
+    trust, distrust = _spread(edges, {"good.org"}, {"bad.com", "x.example.org"})
     for i, h in ((1, "good.org"), (2, "friend.net"), (3, "bad.com"), (4, "shill.net"), (5, "lone.net"), (10, "peer.net")):
         assert got[i].host == h
         assert got[i].trust == pytest.approx(trust.get(h, 0)) and got[i].distrust == pytest.approx(distrust.get(h, 0))
@@ -208,15 +221,46 @@ def test_urls_of_many_blocked_hosts(spark, linked):
         pages += [(20000 + i, f"http://shill{i}.net/", f'<a href="http://bad{i + 1}.com/free">x</a>') for i in range(shills)]
         pages += [(30000, "http://one.net/", '<a href="http://two.net/">x</a>'), (30001, "http://two.net/", None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {r.page_id: r for r in url_filter.filter_urls(df, rounds=4).collect()}
+    got = {r.page_id: r for r in url_filter.filter_urls(df).collect()}
     assert {got[i].verdict for i in range(3 * n)} == {"block"}
     # a seed that no other host links to scores alike with and without links elsewhere
-    assert got[3 * n - 1].distrust == pytest.approx((1 - url_filter.DAMPING) / n)
+    assert got[3 * n - 1].distrust == pytest.approx(1 - url_filter.DAMPING)
     assert got[10000].verdict == "allow"
     assert {got[20000 + i].verdict for i in range(shills if linked else 0)} <= {"block"}
     assert {got[i].verdict for i in (30000, 30001) if linked} <= {"allow"}
 
 
+def test_urls_along_a_chain_of_thirty_hosts(spark):
+    pages = [_page(0, "http://h0.com/de/1")] + [_page(i, f"http://h{i}.net/", f"http://h{i - 1}.{'com' if i == 1 else 'net'}/") for i in range(1, 34)]
+    got = _judged(spark, pages)
+    d = url_filter.DAMPING
+    for i in range(34):
+        assert got[i].distrust == pytest.approx((1 - d) * d ** i, abs=url_filter.LEAST / 100)
+        assert got[i].verdict == ("block" if (1 - d) * d ** i > url_filter.LEAST else "allow")
+
+
+def test_urls_of_many_linkers_and_a_hot_host(spark, monkeypatch):
+    """A blocked host taints each linker however many there are; the same by shuffle joins."""
+    pages = [_page(0, "http://bad.com/de/1")] + [_page(i, f"http://s{i}.net/", "http://bad.com/x") for i in range(1, 401)]
+    pages += [_page(1000 + i, f"http://hot.net/{i}", "http://s1.net/", "http://good.org/") for i in range(500)]
+    pages += [_page(2000, "http://good.org/", "http://hot.net/")]
+    got = _judged(spark, pages)
+    assert {got[i].verdict for i in range(401)} == {"block"}
+    edges = {(f"s{i}.net", "bad.com"): 1 for i in range(1, 401)} | {("hot.net", "s1.net"): 500, ("hot.net", "good.org"): 500,
+                                                                   ("good.org", "hot.net"): 1}
+    trust, distrust = _spread(edges, {"good.org"}, {"bad.com"})
+    assert got[1000].trust == pytest.approx(trust["hot.net"], abs=1e-4) and trust["hot.net"] > distrust["hot.net"]
+    assert got[1000].distrust == pytest.approx(distrust["hot.net"], abs=1e-4) and got[1499].verdict == "allow"
+    monkeypatch.setattr(url_filter, "SMALL", 0)
+    assert _judged(spark, pages) == got
+
+
+def test_urls_with_clashing_columns(spark):
+    df = spark.createDataFrame([_page(1, "http://bad.com/de/1")], "page_id long, url string, html string")
+    df = df.withColumns({c: F.lit("x") for c in ("host", "path", "rule", "action", "kind", "score", "trust", "w")})
+    assert [r.verdict for r in url_filter.filter_urls(df).collect()] == ["block"]
+
+
 def test_spotsigs_edges(spark):
     docs = _docs(spark, ODD)
     got = spotsigs.compare(docs).collect()
