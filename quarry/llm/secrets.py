@@ -1,18 +1,21 @@
 """Secret scans: fixed patterns and sliding-window entropy (operator 3).
 
 Base patterns (fixed): assignments, access keys and long hex runs, leftmost
-and non-overlapping per kind.  Beside them every run of 20 or more key
-characters is a candidate string.  A window of ``WINDOW`` characters slides
-over it; the window keeps a count per character, and when a character enters
-or leaves, only that character's term n log2 n of the sum changes, so
+and non-overlapping per kind.  Beside them every run of ``WINDOW`` or more key
+characters is a candidate string; ``/``, ``=``, ``-`` and ``_`` end a run, so the
+parts of a path, of an identifier or of ``name=value`` stand alone.  What a base match or an allow-list
+pattern (documented examples, the alphabet) covers is cut out of a candidate, and
+the pieces left of ``WINDOW`` characters or more are judged, so only windows that
+touch such a match are suppressed.  A window of ``WINDOW`` characters slides over a
+piece; the window keeps a count per character, and when a character enters or
+leaves, only that character's term n log2 n of the sum changes, so
 
     entropy = log2(WINDOW) - sum(n log2 n) / WINDOW
 
-needs no recount.  Each character class (hex digits, mixed key characters) has
-its own threshold; the span reported runs from the first to the last window
-above it.  Candidates that an allow-list pattern fits (plain numbers, UUIDs,
-documented examples, words without a digit), and those that overlap a base
-match, are suppressed.  Column functions only; no shuffle.
+needs no recount.  Each character class has its own threshold: hex digits, letters
+alone, and letters with digits; digits alone are never reported.  A test holds the
+thresholds against random keys and against words.  The span runs from the first
+to the last window above the threshold.  Column functions only; no shuffle.
 
 Defined cases: a null text counts as empty; a text without a match has empty
 spans.  Positions count code points, the end is exclusive.  Repeated rows get
@@ -32,14 +35,13 @@ from quarry.llm.common import text_or_empty
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the whole match has 20 characters or more
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+]{20,}"
 WINDOW = 20
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: class, pattern of the whole candidate, least entropy in bits per character
-CLASSES = (("entropy_hex", r"^[0-9a-fA-F]+$", 3.0), ("entropy_mixed", r"[A-Za-z]", 3.7))
-ALLOWED = (r"^[^0-9]*$", r"^[0-9_=+/-]*$", r"(?i)example|dummy|placeholder|changeme|sample",
-           r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-           r"(?i)abcdefghij|0123456789")
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+"
+#: class, pattern of the whole piece, least entropy in bits per character
+CLASSES = (("entropy_hex", r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+$", 3.0), ("entropy_letters", r"^[A-Za-z+]+$", 3.95),
+           ("entropy_mixed", r"[A-Za-z]", 3.6))
+ALLOWED = (r"(?i)example|dummy|placeholder|changeme|sample|abcdefghij|0123456789",)
 _SPANS = "array<struct<m:string,s:bigint,e:bigint>>"
 
 
@@ -67,13 +69,13 @@ def _term(n: Column) -> Column:
 def hot_range(m: Column, least: Column) -> Column:
     """struct<lo, hi>: from the first to the last window of ``m`` whose
     entropy reaches ``least`` (null if none does)."""
-    chars = F.split(m, "")
+    places = F.transform(F.split(m, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("n"), F.lit(0.0).alias("sum"),
                     F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
 
-    def step(acc: Column, i: Column) -> Column:
-        new = F.instr(F.lit(ALPHABET), F.element_at(chars, i))
-        old = F.when(i > WINDOW, F.instr(F.lit(ALPHABET), F.element_at(chars, F.greatest(i - WINDOW, F.lit(1))))).otherwise(F.lit(0))
+    def step(codes: Column, bits: Column, acc: Column, i: Column) -> Column:
+        new = F.element_at(codes, i)
+        old = F.when(i > WINDOW, F.element_at(codes, F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(0))
         n_new = F.element_at(acc["n"], new + 1)
         total = acc["sum"] + _term(n_new + 1) - _term(n_new)
         # the leaving character's count, with the entering one already counted
@@ -81,13 +83,36 @@ def hot_range(m: Column, least: Column) -> Column:
         total = F.when(old > 0, total + _term(n_old - 1) - _term(n_old)).otherwise(total)
         counts = F.transform(acc["n"], lambda x, j: x + F.when(j == new, 1).otherwise(0)
                              - F.when((old > 0) & (j == old), 1).otherwise(0))
-        hot = (i >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= least)
+        hot = (i >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= bits)
         return F.struct(counts.alias("n"), total.alias("sum"),
                         F.when(hot, F.coalesce(acc["lo"], i - WINDOW)).otherwise(acc["lo"]).alias("lo"),
                         F.when(hot, i).otherwise(acc["hi"]).alias("hi"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(m)), zero, step,
-                       lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
+    # the outer lambda names codes and threshold, so that they are worked out once and not at every step
+    once = F.array(F.struct(places.alias("codes"), least.alias("bits")))
+    return F.transform(once, lambda o: F.aggregate(
+        F.sequence(F.lit(1), F.size(o["codes"])), zero, lambda acc, i: step(o["codes"], o["bits"], acc, i),
+        lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"))))[0]
+
+
+def _pieces(x: Column, base: Column, plain: str) -> Column:
+    """What base matches and allowed words leave of candidate ``x``, in pieces
+    of WINDOW characters or more: array<struct<m, s, e>>."""
+    hit = F.filter(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    cuts = F.array_sort(F.concat(F.transform(hit, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))),
+                                 F.transform(located(x["m"], plain), lambda a: F.struct((x["s"] + a["s"]).alias("s"),
+                                                                                        (x["s"] + a["e"]).alias("e")))))
+    # gaps between the cuts: each cut ends a piece, and the candidate's end ends the last
+    ends = F.concat(cuts, F.array(F.struct(x["e"].alias("s"), x["e"].alias("e"))))
+
+    def add(acc: Column, c: Column) -> Column:
+        n = c["s"] - acc["at"]
+        here = F.array(F.struct(F.substr(x["m"], (acc["at"] - x["s"] + 1).cast("int"), n.cast("int")).alias("m"),
+                                acc["at"].alias("s"), c["s"].alias("e")))
+        return F.struct(F.greatest(acc["at"], c["e"]).alias("at"),
+                        F.when(n >= WINDOW, F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(ends, F.struct(x["s"].alias("at"), F.array().cast(_SPANS).alias("out")), add, lambda a: a["out"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes=CLASSES,
@@ -106,9 +131,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classe
     rows = rows.select("doc_id", "cand", F.sort_array(F.concat(
         named(long_value, "assign", 0), named(F.col("access"), "access", 1), named(F.col("hex"), "hex", 2))).alias("base"))
     plain = "|".join(f"(?:{p})" for p in allowed) or r"(?!)"
-    suspect = F.filter("cand", lambda x: ~x["m"].rlike(plain)
-                       & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    rows = rows.select("doc_id", "base", suspect.alias("cand"))
+    rows = rows.select("doc_id", "base", F.flatten(F.transform("cand", lambda x: _pieces(x, F.col("base"), plain))).alias("cand"))
     patterns = [p for _, p, _ in classes]
 
     def class_of(m: Column) -> Column:
