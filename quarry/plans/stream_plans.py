@@ -198,3 +198,21 @@ def q_stream_warm_start(spark, sf_dir):
     second = run_available_now(stream_clusters_tws(triggered_stream(spark, sf_dir), seeds, **p),
                                name="warm-2")
     return second.filter(F.col("event") != "state").drop("state_json")
+
+
+@register("stream_cluster_tables", operators=("STR-3", "STR-4", "STR-5", "STR-9", "CLU-4", "CLU-5", "FLT-5", "FLT-6", "SNK-9"))
+def q_stream_cluster_tables(spark, sf_dir):
+    """The clustering stream with its state in tables, in two runs: the first
+    over the earlier half of the vectors, the second over the later half,
+    started from the state that the first has stored.  Events of both."""
+    import uuid
+
+    from quarry.session import checkpoint_dir
+    from quarry.streaming.cluster_tables import run_cluster_tables
+    half = embeddings(spark, sf_dir).agg(F.max("vec_id")).first()[0]
+    half = 0 if half is None else half // 2
+    rows = triggered_stream(spark, sf_dir)
+    roots = [f"{checkpoint_dir(spark).rstrip('/')}/cluster-tables-{uuid.uuid4().hex}" for _ in range(2)]
+    first = run_cluster_tables(rows.where(F.col("sample_id") <= half), roots[0])
+    second = run_cluster_tables(rows.where(F.col("sample_id") > half), roots[1], start=roots[0])
+    return first.events(spark).unionByName(second.events(spark))
