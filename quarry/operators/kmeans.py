@@ -4,6 +4,8 @@
 ``kmeans_step`` is one Lloyd iteration against given centroids: the
 assignment (nearest centroid, squared Euclidean, ties to the smallest id) and
 the update (mean of the assigned rows), both DataFrame operations.
+``lloyd`` repeats it from hash-ordered seeds, so a run can be repeated and
+replayed in SQL; its centroids (k rows) are written once a round.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from quarry.functions.vectors import sq_euclidean
 from quarry.operators.centroids import assign_to_centroids, centroids
 from quarry.operators.sampling import hash_order
+from quarry.session import materialize
 
 
 def seeded_centroids(df: DataFrame, id_col: str, vec: str, k: int, seed: int = 42) -> DataFrame:
@@ -35,6 +38,23 @@ def kmeans_step(df: DataFrame, cents: DataFrame, vec: str = "embedding"):
     return a, new
 
 
+def lloyd(df: DataFrame, cents: DataFrame, vec: str = "embedding", rounds: int = 10, tol: float = 0.0):
+    """At most ``rounds`` Lloyd rounds from ``cents``; returns (rows with
+    ``cluster`` and ``sq_dist`` to the last centroids, the last centroids).  It
+    ends early when no centroid moves by more than ``tol``; a centroid that no row
+    is nearest to goes."""
+    cents = materialize(cents.select("cluster_id", "centroid"))
+    for _ in range(rounds):
+        _, new = kmeans_step(df, cents, vec)
+        new = materialize(new.select("cluster_id", "centroid"))
+        moved = new.join(cents.select("cluster_id", F.col("centroid").alias("_old")), "cluster_id").agg(
+            F.max(sq_euclidean("centroid", "_old"))).first()[0]
+        cents = new
+        if moved is None or moved <= tol * tol:
+            break
+    return kmeans_step(df, cents, vec)[0], cents
+
+
 def kmeans(df: DataFrame, vec: str = "embedding", k: int = 5, seed: int = 42,
            max_iter: int = 20, out: str = "cluster"):
     """MLlib KMeans on an array column; returns (rows with ``out``, model)."""

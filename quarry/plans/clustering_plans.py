@@ -8,6 +8,7 @@ from quarry.operators import density as D
 from quarry.operators import graph as G
 from quarry.operators import kmeans as K
 from quarry.plans.registry import register, rounded
+from quarry.session import materialize
 from quarry.sources.tables import embeddings, table
 
 EPS_COS = 0.35  # fixture cut: cosine >= 0.35 links two samples
@@ -67,6 +68,31 @@ def q_kmeans(spark, sf_dir):
     return out.select("vec_id", "label", "cluster")
 
 
+def _lloyd_sql(rounds: int) -> str:
+    """Rounds of assignment and update, one pair of tables a round."""
+    parts = ["e AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
+             "c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS cluster_id, v AS c FROM ("
+             "SELECT v, md5('42:' || CAST(vec_id AS VARCHAR)) AS h FROM e ORDER BY h LIMIT 5) t)"]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT e.vec_id, e.v, arg_min(cluster_id, (sq, cluster_id)) AS cluster, min(sq) AS sq_dist "
+                     f"FROM (SELECT e.vec_id, c{r}.cluster_id, {_sqdist_sql('e.v', f'c{r}.c')} AS sq FROM e, c{r}) d "
+                     "JOIN e USING (vec_id) GROUP BY e.vec_id, e.v)")
+        if r < rounds:
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT cluster AS cluster_id, list(m ORDER BY pos) AS c FROM ("
+                         f"SELECT cluster, pos, avg(x) AS m FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{r}) t "
+                         "GROUP BY cluster, pos) u GROUP BY cluster)")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, cluster, CAST(round(sq_dist, 6) AS DOUBLE) AS sq_dist FROM a{rounds}"""
+
+
+@register("kmeans_lloyd", operators=("CLU-1", "AGG-9"), sql=_lloyd_sql(10))
+def q_kmeans_lloyd(spark, sf_dir):
+    """Ten Lloyd rounds from five hash-ordered seeds."""
+    e = materialize(embeddings(spark, sf_dir))
+    rows, _ = K.lloyd(e, K.seeded_centroids(e, "vec_id", "embedding", 5, seed=42), "embedding", 10)
+    return rounded(rows.select("vec_id", F.col("cluster").cast("int").alias("cluster"), "sq_dist"))
+
+
 @register("eps_components", operators=("CLU-3", "JOIN-5"), sql=f"""
 WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 ed AS (SELECT a.vec_id AS s, b.vec_id AS t FROM e a JOIN e b ON a.vec_id < b.vec_id
