@@ -3,6 +3,7 @@
 Samples x clusters is never a table.  Clusters are packed into blocks of bounded
 bytes (unit centroids, keyword postings, a centre and the widest angle to it);
 samples are packed into tiles of ``TILE`` rows where they are, without a shuffle.
+Keywords travel as 64-bit hashes, so tiles and blocks are plain numbers.
 A tile meets the blocks of its bucket in an equi-join and each meeting is one
 matrix product, which leaves a best cluster per sample; the partial bests meet in
 one aggregation.  A block that cannot beat what a tile has found so far, by its
@@ -25,7 +26,7 @@ from pyspark.sql.types import StructField, StructType
 from quarry.operators.indexing import join_null_safe, running_total
 from quarry.session import materialize
 
-TILE = 1024
+TILE = 512
 BLOCK_BYTES = 4 << 20
 SMALL = 32 << 20
 
@@ -50,16 +51,13 @@ def _pack_clusters(t: pa.Table, schema: pa.Schema) -> pa.Table:
     wide = float(np.arccos(np.clip(x @ centre, -1, 1)).max()) if width else np.pi
     if (np.linalg.norm(x, axis=1) == 0).any():
         wide = np.pi  # a cosine of 0 can lie anywhere
-    postings: dict[str, list[int]] = {}
-    sizes = []
-    for i, words in enumerate(t.column("words").to_pylist()):
-        words = set(words or ()) - {None}
-        sizes.append(len(words))
-        for w in words:
-            postings.setdefault(w, []).append(i)
+    hashes = [np.unique(np.array(w or [], dtype=np.int64)) for w in t.column("words").to_pylist()]
+    sizes = [len(h) for h in hashes]
+    words, owner = np.concatenate(hashes), np.repeat(np.arange(len(hashes), dtype=np.int32), sizes)
+    order = np.argsort(words, kind="stable")
     row = {"by": t.column("by")[0], "n": len(vectors), "width": width, "cids": t.column("cid").to_numpy().astype(np.int64).tobytes(),
            "x": x.tobytes(), "centre": centre.tobytes(), "wide": wide, "sizes": np.array(sizes, dtype=np.int64).tobytes(),
-           "words": list(postings), "postings": [np.array(p, dtype=np.int32).tobytes() for p in postings.values()]}
+           "words": words[order].tobytes(), "owner": owner[order].tobytes()}
     return pa.Table.from_arrays([pa.array([row[f.name].as_py() if f.name == "by" else row[f.name]], f.type) for f in schema], schema=schema)
 
 
@@ -89,14 +87,19 @@ def _pack_tiles(it, schema: pa.Schema):
 
 def _match(it, w_cos: float, w_kw: float):
     tile = best = None
+    block = ("n", "width", "cids", "x", "centre", "wide", "sizes", "words", "owner")
     for batch in it:
-        for r in batch.to_pylist():
-            if tile is None or tile["tile"] != r["tile"]:
+        for i in range(batch.num_rows):
+            number = batch.column("tile")[i].as_py()
+            if tile is None or tile["tile"] != number:
                 if tile is not None:
                     yield _found(tile, best)
-                tile = {"tile": r["tile"], "uids": r["uids"], "vecs": r["vecs"], "words": r["kws"], "unit": {}}
-                best = np.full(len(r["uids"]), -np.inf), np.zeros(len(r["uids"]), dtype=np.int64)
-            _visit(tile, best, r, w_cos, w_kw)
+                kws = batch.column("kws")[i].values
+                count = np.diff(kws.offsets.to_numpy())
+                tile = {"tile": number, "uids": batch.column("uids")[i].as_py(), "vecs": batch.column("vecs")[i].as_py(), "unit": {},
+                        "words": kws.flatten().to_numpy(), "row": np.repeat(np.arange(len(count)), count)}
+                best = np.full(len(tile["uids"]), -np.inf), np.zeros(len(tile["uids"]), dtype=np.int64)
+            _visit(tile, best, {c: batch.column(c)[i].as_py() for c in block}, w_cos, w_kw)
     if tile is not None:
         yield _found(tile, best)
 
@@ -108,13 +111,11 @@ def _visit(tile: dict, best, r: dict, w_cos: float, w_kw: float) -> None:
     if width not in tile["unit"]:
         tile["unit"] = {width: _unit(tile["vecs"], width)}
     s = tile["unit"][width]
-    hits = np.zeros((len(s), n))
-    at = dict(zip(r["words"], r["postings"]))
-    for i, words in enumerate(tile["words"]):
-        for w in set(words or ()):
-            p = at.get(w)
-            if p is not None:
-                hits[i, np.frombuffer(p, dtype=np.int32)] += 1
+    words, owner = np.frombuffer(r["words"], dtype=np.int64), np.frombuffer(r["owner"], dtype=np.int32)
+    lo, hi = (np.searchsorted(words, tile["words"], side) for side in ("left", "right"))
+    many = hi - lo  # clusters that have each word
+    at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    hits = np.bincount(np.repeat(tile["row"], many) * n + owner[at], minlength=len(s) * n).reshape(len(s), n)
     overlap = hits / np.maximum(sizes, 1)
     apart = np.arccos(np.clip(s @ np.frombuffer(r["centre"]), -1, 1))
     most = w_cos * np.cos(np.maximum(0.0, apart - r["wide"] - 1e-6)) + w_kw * overlap.max(1) + 1e-9
@@ -144,22 +145,23 @@ def nearest_cluster(samples: DataFrame, clusters: DataFrame, words: DataFrame |
     or whose vector is null are absent."""
     from pyspark.sql.pandas.types import to_arrow_schema
     kind = clusters.schema["by"].dataType
-    sets = clusters.select("by", "cid").distinct().withColumn("words", F.array().cast("array<string>")) if words is None else \
-        words.groupBy("by", "cid").agg(F.collect_set("word").alias("words"))
+    sets = clusters.select("by", "cid").distinct().withColumn("words", F.array().cast("array<bigint>")) if words is None else \
+        words.where("word is not null").groupBy("by", "cid").agg(F.collect_set(F.xxhash64("word")).alias("words"))
     c = clusters.where("by is not null").select("by", F.col("cid").cast("long").alias("cid"), F.col("vec").cast("array<double>").alias("vec"))
     c = materialize(c.join(sets, ["by", "cid"], "left"))
-    size = F.greatest(F.size("vec"), F.lit(0)) * 8 + F.coalesce(F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w) + 16), F.lit(0)) + 16
+    size = F.greatest(F.size("vec"), F.lit(0)) * 8 + F.greatest(F.size("words"), F.lit(0)) * 12 + 16
     sized = running_total(c.select("by", "cid", size.cast("long").alias("bytes")), ["cid"], ["bytes"], by="by")
     c = c.join(sized.select("by", "cid", F.floor((F.col("cum_bytes") - F.col("bytes")) / BLOCK_BYTES).alias("blk"), "bytes"), ["by", "cid"])
     out = StructType([StructField("by", kind), *StructType.fromDDL(
-        "n int, width int, cids binary, x binary, centre binary, wide double, sizes binary, words array<string>, postings array<binary>").fields])
+        "n int, width int, cids binary, x binary, centre binary, wide double, sizes binary, words binary, owner binary").fields])
     arrow = to_arrow_schema(out)
     blocks = materialize(c.groupBy("by", "blk").applyInArrow(lambda t: _pack_clusters(t, arrow), out))
     total = sized.agg(F.sum("bytes")).first()[0] or 0
     tiles = StructType([StructField("by", kind), *StructType.fromDDL(
-        "tile long, uids array<long>, vecs array<array<double>>, kws array<array<string>>").fields])
+        "tile long, uids array<long>, vecs array<array<double>>, kws array<array<bigint>>").fields])
     tile_arrow = to_arrow_schema(tiles)
-    s = samples.where("by is not null").select("by", "uid", F.col("vec").cast("array<double>").alias("vec"), "words")
+    hashed = F.transform(F.array_distinct(F.array_compact(F.coalesce("words", F.array().cast("array<string>")))), lambda w: F.xxhash64(w))
+    s = samples.where("by is not null").select("by", "uid", F.col("vec").cast("array<double>").alias("vec"), hashed.alias("words"))
     s = s.mapInArrow(partial(_pack_tiles, schema=tile_arrow), tiles)
     met = s.join(F.broadcast(blocks) if total <= SMALL else blocks, "by")
     parts = met.mapInArrow(partial(_match, w_cos=w_cos, w_kw=w_kw), "uid long, score double, cid long")
