@@ -64,7 +64,7 @@ def q_row_faults(spark, sf_dir):
     broken = (F.when(m == 0, F.substr(js, F.lit(1), F.length(js) - 1)).when(m == 1, F.lit("  ")).when(m == 2, F.to_json(F.array("lang")))
               .when(m == 3, F.to_json(F.struct("text", "lang"))).otherwise(F.to_json(F.struct(F.lit("x").alias("doc_id"), "text", "lang"))))
     raw = _scratch(spark, "lines")
-    d.select(F.explode(F.array(js, broken)).alias("value")).write.text(raw)
+    d.select(F.explode(F.array(js, broken)).alias("value")).write.option("compression", "gzip").text(raw)
     rows = parsed(spark.read.text(raw), {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
                   ("doc_id", "text"))
     good, bad, counts = split_faults(rows, _scratch(spark, "faults"))

@@ -48,7 +48,8 @@ def split_faults(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict
     seen = Observation(f"faults-{uuid.uuid4().hex}")
     counts = [F.count_if(F.col("reason").isNull()).alias("good"),
               *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS]]
-    rows.observe(seen, *counts).withColumn("faulty", F.col("reason").isNotNull()).write.partitionBy("faulty").parquet(path)
+    kept = F.when(F.col("reason").isNotNull(), F.col("value"))  # a good row has its fields
+    rows.observe(seen, *counts).withColumns({"faulty": F.col("reason").isNotNull(), "value": kept}).write.partitionBy("faulty").parquet(path)
     # an empty table has no file to take the schema from
     back = rows.sparkSession.read.schema(StructType([*rows.schema.fields, StructField("faulty", BooleanType())])).parquet(path)
     good, bad = (back.where(F.col("faulty") == f).drop("faulty") for f in (False, True))
