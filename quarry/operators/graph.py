@@ -2,12 +2,15 @@
 
 Quadratic comparisons run on *tile pairs*: inside each bucket, points are
 hashed into tiles of about ``tile_size`` rows; each tile is packed into one
-row (bounded by ``tile_size``), and the tile pairs (s <= t) are generated per
+row, and the tile pairs (s <= t) are generated per
 bucket and equi-joined to the packed tiles.  A pandas task computes one
 distance block with a matrix product and emits only what the operator needs
 (edges over a cut, per-component minimum edges, per-cluster sums): never the
 full pair list.  A big bucket spreads over (tiles^2)/2 tasks.
 
+A tile grows with its bucket up to ``GROWTH`` times ``tile_size``, so fewer copies of
+the vectors travel; tasks work through a pair in blocks of ``BLOCK`` rows.
+
 Where only components matter, a tile pair returns a spanning forest of its edges
 (``forest=True``), fewer edges than it has points, however dense it is.
 
@@ -32,6 +35,10 @@ from quarry.session import materialize
 
 #: Rows of labels (two ids each) that may be broadcast.
 SMALL_ROWS = 500_000
+#: Rows of a block of distances.
+BLOCK = 2048
+#: A tile grows up to so many times its least size; smaller buckets are cut into ``TILES``.
+GROWTH, TILES = 8, 16
 
 
 def _keys(by) -> list[str]:
@@ -48,8 +55,8 @@ def tile_pairs(df: DataFrame, id_col: str, vec: str, by=None, tile_size: int = 2
     base = df.select(*keys, F.col(id_col).cast("long").alias("id"),
                      F.col(vec).cast("array<double>").alias("v"), *extra)
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_tiles", F.greatest(F.ceil(F.col("_n") / tile_size), F.lit(1))
-                             .cast("long"))
+    size = F.greatest(F.lit(tile_size), F.least(F.lit(GROWTH * tile_size), F.ceil(F.col("_n") / TILES)))
+    sizes = sizes.withColumn("_tiles", F.greatest(F.ceil(F.col("_n") / size), F.lit(1)).cast("long"))
     from quarry.operators.indexing import join_null_safe
     t = (join_null_safe(base, sizes, keys) if keys else base.crossJoin(F.broadcast(sizes)))  # no keys: one row
     t = t.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("_tiles")))
@@ -102,39 +109,116 @@ def spanning_forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
+def blocks(n: int) -> list[slice]:
+    return [slice(i, min(i + BLOCK, n)) for i in range(0, n, BLOCK)]
+
+
+class Forest:
+    """Union and find over points 0..n-1 with everybody's component as an array."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def find(self, x: int) -> int:
+        p = self.parent
+        while p[x] != x:
+            p[x] = p[p[x]]
+            x = p[x]
+        return x
+
+    def join(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """Which of the edges connect components, taken one after the other."""
+        new = np.zeros(len(xs), dtype=bool)
+        for i, (x, y) in enumerate(zip(xs.tolist(), ys.tolist())):
+            x, y = self.find(x), self.find(y)
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+                new[i] = True
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return new
+            self.parent = up
+
+
+def _exact(av: np.ndarray, bv: np.ndarray, metric: str) -> np.ndarray:
+    """The measure of single pairs (row i of both), in double precision."""
+    if metric != "cosine":
+        return np.sqrt(((av - bv) ** 2).sum(1))
+    den = np.linalg.norm(av, axis=1) * np.linalg.norm(bv, axis=1)
+    return np.divide((av * bv).sum(1), den, out=np.zeros(len(den)), where=den > 0)
+
+
+def _near(av: np.ndarray, bv: np.ndarray, threshold: float) -> np.ndarray:
+    """cosine >= threshold: single precision screens, pairs close to the
+    threshold are decided in double precision."""
+    unit = []
+    for x in (av, bv):
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        unit.append(np.divide(x, n, out=np.zeros_like(x), where=n > 0).astype(np.float32))
+    s = unit[0] @ unit[1].T
+    hit = s >= threshold + 1e-5
+    x, y = np.nonzero((s >= threshold - 1e-5) & ~hit)
+    for i in range(0, len(x), 1 << 16):
+        u, v = x[i:i + (1 << 16)], y[i:i + (1 << 16)]
+        hit[u, v] = _exact(av[u], bv[v], "cosine") >= threshold
+    return hit
+
+
+def pair_forest(ai, av, bi, bv, threshold: float, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (lo, hi, w) that span the components of the graph between two tiles.
+    Points that are already in one component are not compared: with the most
+    frequent component of a block, only points outside it meet the others."""
+    ids, inv = np.unique(np.concatenate([ai, bi]), return_inverse=True)
+    pa, pb = inv[:len(ai)], inv[len(ai):]
+    forest = Forest(len(ids))
+    out = []
+    for r in blocks(len(ai)):
+        for c in blocks(len(bi)):
+            ca, cb = forest.parent[pa[r]], forest.parent[pb[c]]
+            names, counts = np.unique(np.concatenate([ca, cb]), return_counts=True)
+            most = names[counts.argmax()]
+            for rows, cols in ((np.flatnonzero(ca != most), np.arange(len(cb))), (np.flatnonzero(ca == most), np.flatnonzero(cb != most))):
+                if not len(rows) or not len(cols):
+                    continue
+                x, y = av[r][rows], bv[c][cols]
+                hit = _near(x, y, threshold) if metric == "cosine" else block(x, y, metric) <= threshold
+                hit &= ca[rows][:, None] != cb[cols][None, :]  # a point and itself are one component, too
+                u, v = spanning_forest(hit)
+                u, v = rows[u] + r.start, cols[v] + c.start
+                new = forest.join(pa[u], pb[v])
+                out.append((u[new], v[new]))
+    u, v = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, dtype=int) for k in (0, 1))
+    return np.minimum(ai[u], bi[v]), np.maximum(ai[u], bi[v]), _exact(av[u], bv[v], metric)
+
+
 def _edges_fn(keys, threshold, metric, forest):
-    def pick(hit):
-        return spanning_forest(hit) if forest else np.nonzero(hit)
+    def found(s, ai, bi):
+        hit = s >= threshold if metric == "cosine" else s <= threshold
+        return np.nonzero(hit & (ai[:, None] < bi[None, :]))
 
     def fn(it):
         for pdf in it:
-            outs = []
             for _, r in pdf.iterrows():
                 ai, bi = np.asarray(r["a_id"], dtype=np.int64), np.asarray(r["b_id"], dtype=np.int64)
                 av, bv = np.stack(r["a_v"]), np.stack(r["b_v"])
-                s = block(av, bv, metric)
-                hit = s >= threshold if metric == "cosine" else s <= threshold
+                outs = []
                 if forest:
-                    hit &= ai[:, None] != bi[None, :]
-                else:
-                    hit &= ai[:, None] < bi[None, :]
-                x, y = pick(hit)
-                if len(x):
-                    o = pd.DataFrame({"src": np.minimum(ai[x], bi[y]), "dst": np.maximum(ai[x], bi[y]), "w": s[x, y]})
-                    for k in keys:
-                        o.insert(0, k, r[k])
-                    outs.append(o)
-                if r["s_tile"] != r["t_tile"] and not forest:
-                    hit2 = (s >= threshold if metric == "cosine" else s <= threshold)
-                    hit2 &= ai[:, None] > bi[None, :]
-                    x, y = np.nonzero(hit2)
-                    if len(x):
-                        o = pd.DataFrame({"src": bi[y], "dst": ai[x], "w": s[x, y]})
+                    lo, hi, w = pair_forest(ai, av, bi, bv, threshold, metric)
+                    outs.append(pd.DataFrame({"src": lo, "dst": hi, "w": w}))
+                for x in blocks(len(ai)) if not forest else ():
+                    for y in blocks(len(bi)):
+                        s = block(av[x], bv[y], metric)
+                        i, j = found(s, ai[x], bi[y])
+                        outs.append(pd.DataFrame({"src": ai[x][i], "dst": bi[y][j], "w": s[i, j]}))
+                        if r["s_tile"] != r["t_tile"]:
+                            j, i = found(s.T, bi[y], ai[x])
+                            outs.append(pd.DataFrame({"src": bi[y][j], "dst": ai[x][i], "w": s[i, j]}))
+                for o in outs:
+                    if len(o):
                         for k in keys:
                             o.insert(0, k, r[k])
-                        outs.append(o)
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
+                        yield o
     return fn
 
 
