@@ -3,7 +3,8 @@
 Per-key state lives in the state store (``applyInPandasWithState``); each
 micro-batch hands a key's new rows to one pandas call, which orders them by
 the arrival column and continues from the stored state.  Work per call is
-bounded by the micro-batch, not by the key's history.
+bounded by the micro-batch, not by the key's history; of a key's rows a call holds
+the ordering, id and value columns as arrays and hands results back in chunks.
 """
 
 from __future__ import annotations
@@ -15,9 +16,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
-def _concat(it) -> pd.DataFrame:
-    parts = [p for p in it if len(p)]
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
+#: Rows of a frame that a call hands back.
+CHUNK = 65_536
+
+
+def _ordered(it, order: list[str], cols: list[str]) -> dict[str, np.ndarray]:
+    """The columns of a key's new rows as plain arrays, in ``order``.  Nothing else
+    of the pieces is kept: the key is the same in all of them."""
+    names = list(dict.fromkeys([*order, *cols]))
+    held: dict[str, list] = {c: [] for c in names}
+    for pdf in it:
+        for c in names if len(pdf) else ():
+            held[c].append(np.array(pdf[c]))
+    if not held[names[0]]:
+        return {}
+    whole = {c: np.concatenate(held.pop(c)) for c in names}
+    if any(whole[c].dtype == object for c in order):
+        at = pd.DataFrame({c: whole[c] for c in order}).sort_values(order).index.to_numpy()
+    else:
+        at = np.lexsort([whole[c] for c in reversed(order)])
+    return {c: whole[c][at] for c in cols}
+
+
+def _chunks(n: int):
+    return (slice(i, min(i + CHUNK, n)) for i in range(0, n, CHUNK))
 
 
 def stream_ema(sdf: DataFrame, key: str, order: list[str], value: str, id_col: str,
@@ -26,18 +48,18 @@ def stream_ema(sdf: DataFrame, key: str, order: list[str], value: str, id_col: s
     order = list(order)
 
     def fn(k, it, state):
-        pdf = _concat(it)
-        if pdf.empty:
+        rows = _ordered(it, order, [id_col, value])
+        if not rows:
             return
-        pdf = pdf.sort_values(order)
         e, n = state.get if state.exists else (0.0, 0)
-        vals = pdf[value].to_numpy(dtype=float)
+        vals = rows[value].astype(float)
         outv = np.empty(len(vals))
         for i, x in enumerate(vals):
             e = (1.0 - alpha) * e + alpha * x
             outv[i] = e
         state.update((float(e), int(n + len(vals))))
-        yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), key: pdf[key].to_numpy(), out: outv})
+        for c in _chunks(len(vals)):
+            yield pd.DataFrame({id_col: rows[id_col][c], key: [k[0]] * (c.stop - c.start), out: outv[c]})
 
     kt = sdf.schema[key].dataType.simpleString()
     it = sdf.schema[id_col].dataType.simpleString()
@@ -52,16 +74,17 @@ def stream_count_windows(sdf: DataFrame, key: str, order: list[str], id_col: str
     order = list(order)
 
     def fn(k, it, state):
-        pdf = _concat(it)
-        if pdf.empty:
+        rows = _ordered(it, order, [id_col])
+        if not rows:
             return
-        pdf = pdf.sort_values(order)
+        ids = rows[id_col]
         (n,) = state.get if state.exists else (0,)
-        pos = n + np.arange(len(pdf))
-        state.update((int(n + len(pdf)),))
-        yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), key: pdf[key].to_numpy(),
-                            "window": (pos // size).astype("int64"),
-                            "position": pos.astype("int64")})
+        state.update((int(n + len(ids)),))
+        for c in _chunks(len(ids)):
+            pos = n + np.arange(c.start, c.stop)
+            yield pd.DataFrame({id_col: ids[c], key: [k[0]] * len(pos),
+                                "window": (pos // size).astype("int64"),
+                                "position": pos.astype("int64")})
 
     kt = sdf.schema[key].dataType.simpleString()
     it = sdf.schema[id_col].dataType.simpleString()
@@ -76,10 +99,13 @@ def stream_latest(sdf: DataFrame, key: str, seq: str, cols: list[str]) -> DataFr
     so an older row arriving later does not replace it."""
 
     def fn(k, it, state):
-        pdf = _concat(it)
-        if pdf.empty:
+        last = None
+        for pdf in it:
+            if len(pdf):
+                row = pdf.sort_values(seq).iloc[-1]
+                last = row if last is None or row[seq] >= last[seq] else last
+        if last is None:
             return
-        last = pdf.sort_values(seq).iloc[-1]
         if state.exists and state.get[0] >= int(last[seq]):
             return
         state.update((int(last[seq]),))
