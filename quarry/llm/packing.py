@@ -25,11 +25,12 @@ the rest.  Other columns are not read.
 
 from __future__ import annotations
 
-import re
-import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +41,11 @@ END_ID = 2
 SALTS = 64
 TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k.json"
-#: Bytes of words and ids that a generation of the encoder's words keeps.
-_CACHE_BYTES = 20 << 20
+#: Bytes of texts that are encoded at once, and of ids that leave at once.
+_SLICE_BYTES = 4 << 20
 #: A space that does not open a word: such texts are encoded whole.
-_OTHER_SPACE = re.compile(r"\x20(?:[\s\x1c-\x1f]|\Z)")
+_OTHER_SPACE = (r"\x20(?:[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
+                r"\x{3000}]|\z)")
 
 
 def tokenizer_path(name: str = TOKENIZER, folder: str = TOKENIZERS) -> str:
@@ -81,52 +83,63 @@ def byte_pair_encoding(path: str):
     return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Encoder(dict):
-    """Token ids of a text as packed unsigned 32-bit numbers.
+class Encoder:
+    """Token ids of texts.
 
     The tokenizer splits before every space that a word follows, whatever
     stands before, so the ids of a text are those of its space-led words in
-    turn.  Each different word is encoded once and kept, in two generations
-    of bounded bytes (objects and table entries counted roughly), so that
-    frequent words stay; ``forget`` drops them when a task ends.
+    turn.  ``batch`` encodes each different word of a batch once, all in one
+    call, and puts the texts together from them; nothing is kept between
+    batches.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         self.encoding = byte_pair_encoding(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.older: dict[str, bytes] = {}
-        self.held = 0
-
-    def whole(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            i = self.encoding.encode_ordinary(" " + word)
-            ids = struct.pack(f"<{len(i)}I", *i)
-        cost = 200 + 2 * len(word) + len(ids)
-        if cost > _CACHE_BYTES // 64:
-            return ids
-        if self.held + cost > _CACHE_BYTES:
-            self.older = dict(self)
-            self.clear()
-            self.held = 0
-        self.held += cost
-        self[word] = ids
-        return ids
+        #: Whether a token starts with a space: the first of a space-led word does, no other.
+        self.leads = np.zeros(self.encoding.n_vocab, bool)
+        for token in self.encoding.token_byte_values():
+            self.leads[self.encoding.encode_single_token(token)] = token[:1] == b" "
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _OTHER_SPACE.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+        """The ids of one text as packed unsigned 32-bit numbers."""
+        return self._encode(text).tobytes() if text else b""
+
+    def _encode(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+
+    def batch(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, pa.Buffer]:
+        """The texts' ids one after the other, each with ``end`` after it, and
+        the number of ids up to the end of each text."""
+        n = len(texts)
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, _OTHER_SPACE)
+        split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        words, cuts = split.flatten(), np.asarray(split.offsets)
+        cuts = cuts - cuts[0]
+        led = np.ones(len(words), bool)
+        led[cuts[:-1]] = False  # a text's first word has no space before it
+        own = words.filter(pa.array(led)).dictionary_encode()
+        different = own.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(different)], different), pa.scalar(" ", different.type))
+        pool = self._encode(" " + joined[0].as_py()) if len(different) else np.zeros(0, "<u4")
+        starts = np.flatnonzero(self.leads[pool])
+        if len(starts) != len(different):
+            raise ValueError("the tokenizer does not split before every space")
+        heads = [np.array(self.encoding.encode_ordinary(t), "<u4") for t in words.filter(pa.array(~led)).to_pylist()]
+        for i, t in zip(np.flatnonzero(odd), texts.filter(odd).to_pylist()):
+            heads[i] = self._encode(t)
+        # the ids of each different word, of each text's start and of the end, and which of them stand where
+        sizes = np.concatenate((np.diff(starts, append=len(pool)), [len(h) for h in heads], [len(end) // 4])).astype(np.int64)
+        bounds = 4 * np.concatenate(([0], np.cumsum(sizes)))
+        pool = np.concatenate((pool, *heads, np.frombuffer(end, "<u4")))
+        which = np.full(len(words) + n, len(sizes) - 1)
+        part = np.empty(len(words), np.int64)
+        part[led] = np.asarray(own.indices)
+        part[~led] = len(different) + np.arange(n)
+        which[np.arange(len(words)) + np.repeat(np.arange(n), np.diff(cuts))] = part
+        ends = np.cumsum(sizes[which])[cuts[1:] + np.arange(n)]
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(pool)])
+        return ends, parts.take(pa.array(which)).buffers()[2]
 
 
 @lru_cache(maxsize=2)
@@ -143,29 +156,40 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(it):
         enc = encoder(path)
         for b in it:
-            out, held = [[], [], [], [], []], 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.ids(text) + end
-                n = len(ids) // 4
-                cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)] if n else [0, 0]
-                for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                    for col, v in zip(out, (doc, k, lo, hi - lo, ids[4 * lo: 4 * hi])):
-                        col.append(v)
-                held += len(ids)
-                if held > 16 << 20:
-                    yield _pieces(out)
-                    out, held = [[], [], [], [], []], 0
-            yield _pieces(out)
-        enc.forget()
+            for lo, hi in _slices(b.column(1)):
+                yield from _pieces(b.column(0).slice(lo, hi - lo), *enc.batch(b.column(1).slice(lo, hi - lo), end), capacity)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return map_batches(rows, run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def _pieces(cols) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                      names=["doc_id", "piece", "start", "length", "ids"])
+def _slices(texts: pa.Array) -> list[tuple[int, int]]:
+    """Rows first, last + 1 of runs of about ``_SLICE_BYTES`` (or one text)."""
+    size = np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64)
+    run = (np.cumsum(size) - size) // _SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(size)]
+    return [(lo, hi) for lo, hi in zip(cuts, cuts[1:]) if hi > lo]
+
+
+def _pieces(docs: pa.Array, ends: np.ndarray, ids: pa.Buffer, capacity: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of texts whose ids follow each other in ``ids``."""
+    total = np.diff(ends, prepend=0)
+    first = np.where(total > 0, (total - 1) % capacity + 1, 0)
+    many = 1 + (total - first) // capacity
+    doc = np.repeat(np.arange(len(total)), many)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+    length = np.where(piece > 0, capacity, first[doc])
+    bounds = 4 * np.concatenate(([0], np.cumsum(length)))
+    step = max(1, _SLICE_BYTES // (4 * capacity))
+    for lo in range(0, len(doc), step):
+        hi = min(lo + step, len(doc))
+        at = (bounds[lo: hi + 1] - bounds[lo]).astype(np.int32)
+        own = ids.slice(int(bounds[lo]), int(at[-1])) if ids is not None else pa.py_buffer(b"")
+        cols = [docs.take(pa.array(doc[lo:hi])), pa.array(piece[lo:hi].astype(np.int32)), pa.array(start[lo:hi]),
+                pa.array(length[lo:hi]), pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(at), own])]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids"])
 
 
 def plan_layout(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

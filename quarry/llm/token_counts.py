@@ -104,7 +104,6 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 doc = ids.take(pa.array(np.repeat(np.arange(len(n)), n)))
                 out = [pa.array(np.concatenate(c).astype(np.int64)) for c in cols]
                 yield pa.RecordBatch.from_arrays([doc, *out], names=["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
-        enc.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return map_batches(rows, run, "doc_id long, section long, start long, end long, n_tokens long, n_crossing long")

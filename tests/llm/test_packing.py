@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from quarry.llm import packing
 from quarry.llm.packing import (CAPACITY, Encoder, assign_sequences, best_fit_pack, encode_pieces, plan_layout,
                                 sequences, tokenizer_path)
 
@@ -83,3 +85,41 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert best_fit_pack(docs).count() == 0
     assert assign_sequences(encode_pieces(docs)).columns[-2:] == ["sequence_id", "offset"]
+
+
+def test_batches_encode_each_different_word_once():
+    """A batch's different words go through the tokenizer in one call; a word's repeats cost no more of it."""
+    texts = [*TRICKY, None, " ".join(["word"] * 5000), *(f"\x85 a{s}b {s}c" for s in ("\x85", "\xa0", "\u3000", "\u2028"))] * 3
+    enc, seen = Encoder(tokenizer_path()), []
+    encode = enc.encoding.encode_to_numpy
+    enc.encoding.encode_to_numpy = lambda text, **k: (seen.append(text), encode(text, **k))[1]
+    for column in (pa.array(texts), pa.array(["cut off", *texts])[1:], pa.array(texts, pa.large_string())):
+        seen.clear()
+        ends, ids = enc.batch(column, b"\2\0\0\0")
+        ids = np.split(np.frombuffer(ids, "<u4"), ends)[:-1]
+        assert [x.tolist() for x in ids] == [x + [2] for x in _own_ids([t or "" for t in texts])]
+        assert sum(s.count("word") for s in seen) == 1
+    ends, ids = enc.batch(pa.array([None, ""], pa.string()))
+    assert ends.tolist() == [0, 0]
+
+
+def test_pieces_leave_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_SLICE_BYTES", 4096)
+    docs = [(i, ("word " * n)[: -1 if n % 2 else None], "x") for i, n in enumerate([0, 1, 30, 4001, 2, 0, 900])]
+    got = {}
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+    monkeypatch.setattr(packing, "map_batches", lambda _, run, schema: run)
+    run = encode_pieces(Docs(), capacity=100, tokenizer=tokenizer_path())
+    column = pa.record_batch([pa.array([d[0] for d in docs]), pa.array([d[1] for d in docs])], names=["doc_id", "text"])
+    for b in run(iter([column, column.slice(0, 0)])):
+        assert b.column(4).nbytes <= 2 * 4096
+        for doc, piece, start, length, ids in zip(*(c.to_pylist() for c in b.columns)):
+            assert len(ids) == 4 * length and start == sum(len(x) for x in got.get(doc, [])) // 4
+            assert piece == len(got.setdefault(doc, []))
+            got[doc].append(ids)
+    assert [np.frombuffer(b"".join(got[i]), "<u4").tolist() for i in range(len(docs))] == \
+        [x + [2] for x in _own_ids([t for _, t, _ in docs])]
