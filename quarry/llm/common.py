@@ -42,7 +42,17 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
                 schema: str) -> DataFrame:
     """Arrow batches in, Arrow batches out; Spark bounds a batch in rows and
     bytes, so a task holds one batch of texts at a time."""
-    return df.mapInArrow(fn, schema)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(it)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """At the end of a task: Arrow's free memory goes back to the system, as
+    the worker lives on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -83,5 +93,5 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["SPACES", "WORD", "documents", "held_out", "keep_rows", "map_batches", "materialize",
+__all__ = ["SPACES", "WORD", "documents", "give_back", "held_out", "keep_rows", "map_batches", "materialize",
            "may_learn", "null_safe_join", "table", "text_or_empty", "unused"]

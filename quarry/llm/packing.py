@@ -158,7 +158,6 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in it:
             for lo, hi in _slices(b.column(1)):
                 yield from _pieces(b.column(0).slice(lo, hi - lo), *enc.batch(b.column(1).slice(lo, hi - lo), end), capacity)
-        pa.default_memory_pool().release_unused()  # the worker lives on
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return map_batches(rows, run, "doc_id long, piece int, start long, length long, ids binary")

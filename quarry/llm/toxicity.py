@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held_out, map_batches, materialize, may_learn, unused
+from quarry.llm.common import give_back, held_out, map_batches, materialize, may_learn, unused
 
 DIMENSIONS = 1 << 20
 FEATURES = 1024
@@ -212,6 +212,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         run = scorer(machine)
         for s in batches:
             yield pd.Series(run(s), index=s.index)
+        give_back()
 
     mark = unused(docs, "score")
     return docs.withColumn(mark, score(F.col(text_col))).where(F.col(mark) < threshold).drop(mark)

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -123,3 +125,34 @@ def test_pieces_leave_in_bounded_batches(spark, monkeypatch):
             got[doc].append(ids)
     assert [np.frombuffer(b"".join(got[i]), "<u4").tolist() for i in range(len(docs))] == \
         [x + [2] for x in _own_ids([t for _, t, _ in docs])]
+
+
+def test_a_task_keeps_no_words(spark, monkeypatch):
+    """Ever new words leave nothing behind them in a task, and its end gives Arrow's free memory back."""
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run, held = encode_pieces(Docs(), tokenizer=tokenizer_path()), []
+
+    def texts():
+        for k in range(6):
+            held.append(tracemalloc.get_traced_memory()[0])
+            words = (f"{(k * 30000 + i) * 7919:x}" for i in range(30000))
+            yield pa.record_batch([pa.array([k]), pa.array([" ".join(words)])], names=["doc_id", "text"])
+
+    tracemalloc.start()
+    try:
+        for b in run(texts()):
+            del b
+    finally:
+        tracemalloc.stop()
+    assert held[-1] - held[1] < 2 << 20
+    pool = pa.default_memory_pool()
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: given.append(1) or pool)
+    given = []
+    list(run(iter([])))
+    assert given == [1]
