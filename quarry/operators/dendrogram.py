@@ -21,13 +21,15 @@ to know of the earlier ones only which components its own endpoints lie in, so
    downwards.  Children have lower ranks than parents, so there are at most as
    many rounds as blocks, and one where a bucket fits a slice.
 
-No task sees more than a slice of a bucket, however large the bucket is.
+No task sees more than a slice of a bucket, however large the bucket is.  A bucket
+that fits one slice needs none of the joins above: its task goes through all steps.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,11 +224,76 @@ def _down_step(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.drop(columns="blk").assign(lab=out, known=out >= 0)[["g", "c", "parent", "own", "above", "lab", "known"]]
 
 
+def bucket_labels(u: np.ndarray, v: np.ndarray, d: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points of one bucket's MST and their clusters, all steps in one go; none
+    where there is one cluster at most."""
+    order = np.lexsort((v, u, d))
+    u, v, d = u[order], v[order], d[order]
+    ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    n = len(d)
+    tree = _slice_tree(pd.DataFrame({"g": 0, "r": np.arange(1, n + 1), "d": d, "a": -1 - ends[:n], "b": -1 - ends[n:],
+                                     "sa": 1, "sb": 1}), least)
+    lft, rgt, nl, nr, cl, split = (tree[c].to_numpy() for c in ("lft", "rgt", "nl", "nr", "up", "split"))
+    lam = np.divide(1.0, d, out=np.full(n, np.inf), where=d > 0)
+    out = np.where(split, nl + nr, np.where(nl < least, nl, 0) + np.where(nr < least, nr, 0))
+    ends_ = np.isfinite(lam) & (nl + nr >= least)
+    mass = np.bincount(cl[ends_], lam[ends_] * out[ends_], n + 1)
+    left = np.bincount(cl[ends_], out[ends_], n + 1)
+    never = np.bincount(cl[np.isinf(lam)], out[np.isinf(lam)], n + 1)
+    birth, parent = np.zeros(n + 1), np.zeros(n + 1, dtype=np.int64)
+    for side in (lft, rgt):
+        birth[side[split]], parent[side[split]] = lam[split], cl[split]
+    with np.errstate(invalid="ignore"):
+        stab = np.where(np.isinf(birth), 0.0, mass - birth * left + np.where(never > 0, np.inf, 0.0))
+    clusters = np.unique(cl)  # children come before their parents
+    below, own = np.zeros(n + 1), np.zeros(n + 1, dtype=bool)
+    for c in clusters.tolist():
+        own[c] = not below[c] > stab[c]
+        below[parent[c]] += max(stab[c], below[c])
+    lab = np.zeros(n + 1, dtype=np.int64)
+    for c in clusters[-2::-1].tolist():  # without the root
+        lab[c] = lab[parent[c]] or (c if own[c] else 0)
+    placed = np.zeros(len(ids), dtype=np.int64)
+    for side in (lft, rgt):
+        placed[-1 - side[side < 0]] = lab[cl[side < 0]]
+    chosen, first = np.unique(placed, return_index=True)
+    first = first[chosen > 0]
+    if len(first) < 2:
+        return ids[:0], placed[:0]
+    number = np.full(n + 1, -1)
+    number[placed[np.sort(first)]] = np.arange(len(first))
+    return ids, number[placed]
+
+
+def _labels_at_once(mst: DataFrame, keys: list[str], least: int) -> DataFrame:
+    schema = mst.select(*keys, F.col("u").alias("id"), F.lit(0).cast("long").alias("cluster")).schema
+
+    def fn(t: pa.Table) -> pa.Table:
+        ids, cluster = bucket_labels(*(t.column(c).to_numpy() for c in ("u", "v", "d")), least)
+        return pa.Table.from_arrays([pa.repeat(t.column(k)[0], len(ids)) for k in keys] + [pa.array(ids), pa.array(cluster)],
+                                    names=[*keys, "id", "cluster"])
+
+    return mst.groupBy(*keys).applyInArrow(fn, schema)
+
+
 def density_labels(mst: DataFrame, keys: list[str], min_cluster_size: int = 2, size: int = SLICE) -> DataFrame:
     """(keys..., id, cluster) of every point of the MSTs (keys..., u, v, d); -1 is
     noise.  Clusters are numbered within a bucket by their smallest id.  Buckets
     with one cluster or none return no rows."""
     least = max(2, min_cluster_size)
+    mst = materialize(mst.select(*keys, "u", "v", "d"))
+    sizes = materialize(mst.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0"))
+    low, high = sizes.agg(F.min("_n"), F.max("_n")).first()
+    if high is None or high <= size:
+        return _labels_at_once(mst, keys, least)
+    wide = sizes.where(F.col("_n") > size).drop("_n")
+    sliced = _labels_in_slices(join_null_safe(mst, wide, keys, "left_semi") if keys else mst, keys, least, size)
+    if low > size:
+        return sliced
+    return sliced.unionByName(_labels_at_once(join_null_safe(mst, wide, keys, "left_anti"), keys, least))
+
+
+def _labels_in_slices(mst: DataFrame, keys: list[str], least: int, size: int) -> DataFrame:
     edges, buckets = _numbered(mst, keys)
     edges = materialize(edges)
     points = edges.select("g", F.col("u").alias("id")).unionByName(edges.select("g", F.col("v").alias("id"))).distinct()

@@ -29,6 +29,8 @@ from quarry.session import materialize
 TILE = 512
 BLOCK_BYTES = 4 << 20
 SMALL = 32 << 20
+#: Pairs of a row's word and a cluster that has it, held at once.
+MATCHES = 1_000_000
 
 
 def _unit(vectors: list, width: int) -> np.ndarray:
@@ -114,8 +116,16 @@ def _visit(tile: dict, best, r: dict, w_cos: float, w_kw: float) -> None:
     words, owner = np.frombuffer(r["words"], dtype=np.int64), np.frombuffer(r["owner"], dtype=np.int32)
     lo, hi = (np.searchsorted(words, tile["words"], side) for side in ("left", "right"))
     many = hi - lo  # clusters that have each word
-    at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    hits = np.bincount(np.repeat(tile["row"], many) * n + owner[at], minlength=len(s) * n).reshape(len(s), n)
+    hits = np.zeros((len(s), n))
+    total = np.cumsum(many)
+    start = 0
+    while start < len(many):  # common words have many clusters: about MATCHES of them at a time
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + MATCHES)))
+        k, rows = many[start:stop], tile["row"][start:stop]
+        at = np.repeat(lo[start:stop] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        first, after = rows[0], rows[-1] + 1
+        hits[first:after] += np.bincount(np.repeat(rows - first, k) * n + owner[at], minlength=(after - first) * n).reshape(-1, n)
+        start = stop
     overlap = hits / np.maximum(sizes, 1)
     apart = np.arccos(np.clip(s @ np.frombuffer(r["centre"]), -1, 1))
     most = w_cos * np.cos(np.maximum(0.0, apart - r["wide"] - 1e-6)) + w_kw * overlap.max(1) + 1e-9
