@@ -5,10 +5,11 @@ The single-linkage tree of a bucket has a node per MST edge, in the order of
 The edges of a bucket are ranked and cut into slices of ``SLICE``.  A slice needs
 to know of the earlier ones only which components its own endpoints lie in, so
 
-1. **contraction**: halve the slices again and again; the components of each
-   first half (a forest, solved by ``graph.components`` for all halves of a level
-   at once) replace the endpoints of its second half by (last edge, size).
-   After log2(slices) levels every slice stands alone;
+1. **contraction**: slice after slice, a task finds the components that the slice
+   makes, by union and find; in all later slices (last edge, size) of a component
+   replaces the endpoints in it.  That is a turn of two tables per slice, whatever
+   the shape of the tree: passing labels along the edges instead takes as many
+   rounds as a component is long.  After the last turn every slice stands alone;
 2. **slices**: each builds its part of the tree in one task, by union and find.
    Links between slices are few and are followed by pointer jumping;
 3. **condensing**: an edge with at least ``min_cluster_size`` points on both
@@ -33,7 +34,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.graph import components
 from quarry.operators.indexing import join_null_safe
 from quarry.operators.sampling import group_rank
 from quarry.session import materialize
@@ -50,65 +50,76 @@ def _numbered(mst: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | N
     return join_null_safe(mst, buckets, keys).select("g", "u", "v", "d"), buckets
 
 
-def _contract(edges: DataFrame, width: int, size: int) -> DataFrame:
-    """One level: first halves of ``width`` slices replace the endpoints of the second halves."""
-    at = F.floor((F.col("r") - 1) / size)
-    e = edges.withColumn("seg", F.floor(at / width)).withColumn("low", at % width < width // 2)
-    low, high = e.where("low"), e.where(~F.col("low"))
-
-    def node(c: str):
-        return F.struct("g", "seg", F.col(c).alias("at"))
-
-    ends = low.select(node("a").alias("id"), F.col("sa").alias("n")).unionByName(
-        low.select(node("b").alias("id"), F.col("sb").alias("n"))).distinct()
-    comp = components(ends.select("id"), low.select(node("a").alias("src"), node("b").alias("dst")), "id")
-    sizes = comp.join(ends, "id").groupBy("comp").agg(F.sum("n").alias("size"))
-    tops = low.select(node("a").alias("id"), "r").join(comp, "id").groupBy("comp").agg(F.max("r").alias("top"))
-    to = materialize(comp.join(sizes, "comp").join(tops, "comp").select("id.*", "top", "size"))
-    for end, n in (("a", "sa"), ("b", "sb")):
-        found = to.select("g", "seg", F.col("at").alias(end), "top", "size")
-        high = (high.join(found, ["g", "seg", end], "left")
-                .withColumns({end: F.coalesce("top", end), n: F.coalesce("size", n)}).drop("top", "size"))
-    return materialize(low.unionByName(high).select(*edges.columns))
+def _contract(edges: DataFrame, size: int, slices: int) -> DataFrame:
+    """Endpoints in components that earlier slices have made become (last edge, size)."""
+    done, rest = [], edges.withColumn("s", F.floor((F.col("r") - 1) / size))
+    for k in range(slices - 1):
+        now, rest = rest.where(F.col("s") == k), rest.where(F.col("s") > k)
+        done.append(now)
+        to = materialize(now.groupBy("g").applyInPandas(_slice_ends, "g long, at long, top long, size long"))
+        for end, n in (("a", "sa"), ("b", "sb")):
+            rest = (rest.join(to.withColumnRenamed("at", end), ["g", end], "left")
+                    .withColumns({end: F.coalesce("top", end), n: F.coalesce("size", n)}).drop("top", "size"))
+        rest = materialize(rest)
+    for now in done:
+        rest = rest.unionByName(now)
+    return materialize(rest.select(*edges.columns))
+
+
+class _Joined:
+    """A slice's edges taken one after the other: the components they join (named by
+    their last edge, or the endpoint) and the edge of the slice above each."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        n = len(pdf)
+        self.labels, inv = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
+        top, size = self.labels.copy(), np.zeros(len(self.labels), dtype=np.int64)
+        size[inv] = np.concatenate([pdf["sa"].to_numpy(), pdf["sb"].to_numpy()])
+        parent = np.arange(len(self.labels))
+        self.left, self.right, self.nl, self.nr = (np.zeros(n, dtype=np.int64) for _ in range(4))
+        self.above = np.full(n, -1)
+        rank = pdf["r"].to_numpy()
+        local: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for i in range(n):
+            x, y = find(inv[i]), find(inv[n + i])
+            self.left[i], self.right[i], self.nl[i], self.nr[i] = top[x], top[y], size[x], size[y]
+            for child in (int(top[x]), int(top[y])):
+                if child in local:
+                    self.above[local[child]] = i
+            small, big = (x, y) if size[x] < size[y] else (y, x)
+            parent[small] = big
+            top[big], size[big] = rank[i], self.nl[i] + self.nr[i]
+            local[int(rank[i])] = i
+        roots = [find(x) for x in range(len(self.labels))]
+        self.top, self.size = top[roots], size[roots]
+
+
+def _slice_ends(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What becomes of a slice's endpoints."""
+    done = _Joined(pdf.sort_values("r", ignore_index=True))
+    return pd.DataFrame({"g": pdf["g"].iloc[0], "at": done.labels, "top": done.top, "size": done.size})
 
 
 def _slice_tree(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
     """The tree nodes of one slice: children, sizes, and how far up inside the
     slice a node's cluster reaches (``done``: a split ends it there)."""
     pdf = pdf.sort_values("r", ignore_index=True)
-    n = len(pdf)
-    labels, inv = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
-    top, size = labels.copy(), np.zeros(len(labels), dtype=np.int64)
-    size[inv] = np.concatenate([pdf["sa"].to_numpy(), pdf["sb"].to_numpy()])
-    parent = np.arange(len(labels))
-    left, right, nl, nr = (np.zeros(n, dtype=np.int64) for _ in range(4))
-    above = np.full(n, -1)
-    rank = pdf["r"].to_numpy()
-    local: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i in range(n):
-        x, y = find(inv[i]), find(inv[n + i])
-        left[i], right[i], nl[i], nr[i] = top[x], top[y], size[x], size[y]
-        for child in (int(top[x]), int(top[y])):
-            if child in local:
-                above[local[child]] = i
-        small, big = (x, y) if size[x] < size[y] else (y, x)
-        parent[small] = big
-        top[big], size[big] = rank[i], nl[i] + nr[i]
-        local[int(rank[i])] = i
-    split = (nl >= least) & (nr >= least)
+    n, rank = len(pdf), pdf["r"].to_numpy()
+    t = _Joined(pdf)
+    split = (t.nl >= least) & (t.nr >= least)
     up, done = rank.copy(), np.zeros(n, dtype=bool)
     for i in range(n - 1, -1, -1):
-        p = above[i]
+        p = t.above[i]
         if p >= 0:
             up[i], done[i] = (rank[i], True) if split[p] else (up[p], done[p])
-    return pd.DataFrame({"g": pdf["g"], "r": rank, "d": pdf["d"], "lft": left, "rgt": right, "nl": nl, "nr": nr,
+    return pd.DataFrame({"g": pdf["g"], "r": rank, "d": pdf["d"], "lft": t.left, "rgt": t.right, "nl": t.nl, "nr": t.nr,
                          "up": up, "done": done, "split": split})
 
 
@@ -304,12 +315,7 @@ def _labels_in_slices(mst: DataFrame, keys: list[str], least: int, size: int) ->
         ranked = ranked.join(points.select("g", F.col("id").alias(end), (-F.col("ix")).alias(name)), ["g", end])
     edges = materialize(ranked.select("g", "r", "d", "a", "b", one.alias("sa"), one.alias("sb")))
     last = edges.agg(F.max("r")).first()[0] or 0
-    width = 1
-    while width * size < last:
-        width *= 2
-    while width > 1:
-        edges = _contract(edges, width, size)
-        width //= 2
+    edges = _contract(edges, size, -(-last // size))
     nodes = _tree(edges, least, size)
     labels = _select(_clusters(nodes, least), size)
     fell = nodes.select("g", F.col("cl").alias("c"), F.explode(F.array("lft", "rgt")).alias("p")).where("p < 0")

@@ -47,3 +47,16 @@ def test_tiles_give_one_tree(spark):
     assert one == many and len(one) == 118
     assert D.euclidean_mst(df.where("false"), "id", "v", "bucket").count() == 0
     assert D.density_cluster(df.where("id < 20"), "id", "v").count() == 0
+
+
+def test_a_long_component_is_contracted(spark):
+    """The first slices make one path of 1,500 points, far longer than any number of rounds."""
+    rng = np.random.default_rng(4)
+    n = 2000
+    ids = rng.permutation(n)
+    d = np.where(np.arange(n - 1) < 1500, rng.random(n - 1), 2 + rng.random(n - 1))
+    u, v = np.minimum(ids[:-1], ids[1:]), np.maximum(ids[:-1], ids[1:])
+    mst = spark.createDataFrame(list(zip(u.tolist(), v.tolist(), d.tolist())), "u long, v long, d double")
+    got = {r.id: r.cluster for r in density_labels(mst, [], 2, 500).collect()}
+    want = D.condense_labels(np.arange(n), u, v, d)
+    assert got.keys() == want.keys() and _same_partition(got, want)
